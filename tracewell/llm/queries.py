@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hilbert, packing, quality_rules, token_counts, url_filter
+from . import decontaminate, hilbert, packing, parity_join, quality_rules, token_counts, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -71,3 +71,8 @@ SELECT page_id, host, path,
   (SELECT arg_max(rh || rp, length(rh || rp)) FROM r WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS rule,
   coalesce((SELECT arg_max(action, length(rh || rp)) FROM r WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)), 'allow') AS verdict
 FROM p"""
+
+
+@query
+def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.jaccard_components(table(spark, sf_dir, "documents"))
