@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import lower_ascii
+from .support import cut, lower_ascii
 
 WS = r"[\x20\x09-\x0D]+"
 WS_CHARS = " \t\n\x0b\x0c\r"
@@ -71,7 +71,7 @@ def quality_rules(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str
     texts = rows.select("_host", "_nohost", "_key", "_text")
     lines = F.filter(F.transform(F.split("_text", "\n"), lambda x: F.struct(line_key(x).alias("line"), n_words_of(x).alias("words"))), lambda s: s["words"] > 0)
     found = texts.select("_host", "_nohost", "_key", F.explode(lines).alias("s")).select("_host", "_nohost", "_key", "s.line", "s.words")
-    per_text = found.groupBy("_host", "_nohost", "line", "_key").agg(F.sum("words").alias("words"))
+    per_text = cut(found.groupBy("_host", "_nohost", "line", "_key").agg(F.sum("words").alias("words")))  # three uses
     counts = per_text.groupBy("_host", "_nohost", "line").agg(F.count("*").alias("n_docs"))
     hosts = per_text.select("_host", "_nohost", "_key").distinct().groupBy("_host", "_nohost").agg(F.count("*").alias("host_docs"))
     over = counts.where(F.col("n_docs") > min_docs).join(hosts, ["_host", "_nohost"]).where(F.col("n_docs") > share * F.col("host_docs")).select("_host", "_nohost", "line")
