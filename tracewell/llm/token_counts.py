@@ -32,7 +32,7 @@ from .support import shards_for
 
 DEALT = "shard int, block long, meta binary, docs binary, freqs binary, counts binary, hashes binary, sizes binary, strings binary"
 SUMS = "block long, meta binary, docs binary, sums binary"
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def unit_starts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
