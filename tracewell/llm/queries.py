@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hilbert, packing, parity_join, quality_rules, token_counts, url_filter
+from . import decontaminate, hilbert, packing, parity_join, quality_rules, repeats, token_counts, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -76,3 +76,9 @@ FROM p"""
 @query
 def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("rest.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
