@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hilbert, packing, parity_join, quality_rules, repeats, token_counts, url_filter
+from . import decontaminate, hilbert, kneser_ney, packing, parity_join, quality_lm, quality_rules, repeats, token_counts, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -82,3 +82,19 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("rest.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = kneser_ney.id_remainder(F.col("doc_id"), 7) == 2
+    model = kneser_ney.train(docs.where(~held_out))
+    scored = kneser_ney.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query
+def op1_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    trusted = labels.where("quality = 1 and toxic = 0").select("doc_id")
+    return quality_lm.quality_by_perplexity(table(spark, sf_dir, "documents"), trusted)
