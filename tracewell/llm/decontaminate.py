@@ -226,3 +226,8 @@ def hit_words(matches_col: str = "matches"):
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to"))
     grow = lambda acc, s: F.struct((acc["n"] + F.greatest(s["b"] - F.greatest(s["a"], acc["to"]), F.lit(0))).cast("long").alias("n"), F.greatest(acc["to"], s["b"]).alias("to"))
     return F.aggregate(spans, start, grow, lambda acc: acc["n"])
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """The documents in which no window of any item occurs."""
+    return benchmark_matches(docs, benchmark, window).where(F.size("matches") == 0).select("doc.*")

@@ -12,7 +12,7 @@ parity sketches rule pairs out, the others are compared exactly, and pairs that
 leaves a task is a spanning forest, so no group's pairs are ever emitted.
 
 Shingles count as equal if their 64-bit hashes are. Defined results: a null or empty text has 0 shingles and is its
-own component; fewer than four words make one shingle; repeated rows are linked like copies; a null doc_id is linked
+own component; fewer words than a shingle has make one shingle; repeated rows are linked like copies; a null doc_id is linked
 but never names a component of others, and its component is null if no other row is in it.
 """
 
@@ -64,7 +64,8 @@ class Bands:
     `least` being the smaller one's size; so with more blocks than that, some block of both is the same.
     """
 
-    def __init__(self, percent: int, ratio: float = 1.3, weight: float = 4.9, top: int = 1 << 40):
+    def __init__(self, percent: int, ratio: float = 1.3, top: int = 1 << 40):
+        weight = 0.865 * percent / (100 - percent)  # mean shingles of a block
         first = percent // (100 - percent) + 1  # smaller sets are linked only if equal
         low = [first]
         while low[-1] < top:
@@ -133,12 +134,12 @@ def set_ids(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return mix(both ^ mix(total + n.astype(np.uint64) * MULT))
 
 
-def _sign(n_shards: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(n_shards: int, percent: int, n_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each chunk of texts and shard: the block keys that fall there, and by whom they are used."""
     bands = Bands(percent)
     limits = np.array([(s << 64) // n_shards for s in range(1, n_shards)], np.uint64)
     for number, (batch, buf, off) in enumerate(chunks(batches, limit=4 << 20), TaskContext.get().partitionId()):
-        h, ptr = shingle_sets(buf, off)
+        h, ptr = shingle_sets(buf, off, n_words)
         size, sid = np.diff(ptr), set_ids(h, ptr)
         ids = batch.column(0)
         members = pickle.dumps((ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False), signed(sid), size))
@@ -182,7 +183,7 @@ def _look_up(table: pa.Table) -> pa.Table:
     return pa.concat_tables([pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(p, schema, strict=True)], schema=schema) for p in parts])
 
 
-def _some_sets(bits: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _some_sets(bits: bytes, n_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingle sets of the documents whose id is in the bit table."""
     table = np.frombuffer(bits, np.uint8)
     for batch in batches:
@@ -190,7 +191,7 @@ def _some_sets(bits: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
         hit = (table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1
         some = batch.filter(pa.array(hit.astype(bool)))
         for piece, buf, off in chunks(iter([some])):
-            h, ptr = shingle_sets(buf, off)
+            h, ptr = shingle_sets(buf, off, n_words)
             yield batch_of([(int(s), int(d), h[a:b].tobytes()) for s, d, a, b in zip(signed(set_ids(h, ptr)), row_ids(piece, "doc"), ptr[:-1], ptr[1:], strict=True)], SETS)
 
 
@@ -239,11 +240,11 @@ def _verify(percent: int, table: pa.Table) -> pa.Table:
     return table_of([(int(ids[one[i]]), int(ids[one[j]])) for i, j in found], "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text", tile_sets: int = 2048, tile_shingles: int = 4 << 20, filter_bits: int = 1 << 24) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 85, n_words: int = 4, doc_id: str = "doc_id", text: str = "text", tile_sets: int = 2048, tile_shingles: int = 4 << 20, filter_bits: int = 1 << 24) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n = shards_for(docs, text, 256 << 20)
-    signs = rows.mapInArrow(partial(_sign, n, percent), KEYS)
+    signs = rows.mapInArrow(partial(_sign, n, percent, n_words), KEYS)
     found = cut(signs.groupBy("shard").applyInArrow(lambda t: _look_up(t), FOUND))
     members = found.where("kind = 1").select(F.col("x").alias("doc_id"), F.col("y").alias("sid"), F.col("n").alias("n_shingles"))
     sets = members.where("n_shingles > 0").groupBy("sid").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc"), F.first("n_shingles").alias("n_shingles"))
@@ -266,7 +267,7 @@ def jaccard_components(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id
         bits[w * 4 : w * 4 + 4] = np.frombuffer(int(m).to_bytes(4, "little"), np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
     keyed = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
-    bodies = keyed.mapInArrow(lambda it: _some_sets(shared.value, it), SETS)
+    bodies = keyed.mapInArrow(lambda it: _some_sets(shared.value, n_words, it), SETS)
     groups = bodies.join(tiled.select("sid", "doc", "label", "tile", "other"), ["sid", "doc"]).select("label", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "sid", "tile", "hashes")
     linked = groups.groupBy("label", "t1", "t2").applyInArrow(lambda t: _verify(percent, t), "a long, b long")
     joined = components(linked).withColumnRenamed("node", "sid")
@@ -278,5 +279,16 @@ def jaccard_components(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id
     return full.unionAll(members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def keep_one(docs: DataFrame, percent: int, n_words: int) -> DataFrame:
+    """One document of each component, the one with the least doc_id; of rows that share it, any one. Null ids stay."""
+    names = jaccard_components(docs, percent, n_words).where("doc_id is not null")
+    marks = cut(names.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") != F.col("component_id")).alias("_other"), (F.count("*") > 1).alias("_again")).where("_other or _again"))
+    kept = docs.join(marks.where("_other or _again").select("doc_id"), "doc_id", "left_anti")
+    if marks.where("not _other").limit(1).count():
+        again = docs.join(marks.where("not _other").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.unionByName(again)
+    return kept.select(*docs.columns)
+
+
 #: stands for a null doc_id while sets are looked up; larger than any id, so that it never names a component
 NO_ID = (1 << 63) - 1

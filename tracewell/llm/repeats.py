@@ -359,7 +359,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, k: int = GRAM, doc_id: str
     """`rest` (every other column, as a struct), n_bytes, n_removed, n_spans and `kept`, the remaining bytes."""
     n = shards_for(docs, text, 256 << 20)
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("rest")
-    blocks = cut(docs.select(rest, F.col(text).alias("text")).mapInArrow(lambda it: _to_blocks(it), BLOCKS).repartition(n, "block"))
+    blocks = cut(docs.select(rest, F.col(text).alias("text")).mapInArrow(lambda it: _to_blocks(it), BLOCKS))
     calls = blocks.mapInArrow(partial(_announce, n, doc_id, span, k), CALLS)
     marks = cut(calls.groupBy("shard").applyInArrow(lambda t: _shared(t), MARKS))
     both = lambda other: blocks.groupBy("block").cogroup(other.groupBy("block"))
@@ -374,3 +374,17 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, k: int = GRAM, doc_id: str
         return _cut_repeats(n, doc_id, span, k, schema, a, b.filter(pc.is_valid(b["bits"])), said)
 
     return both(replies).applyInArrow(finish, out)
+
+
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without their repeats, in their own columns; `n_chars`, if there is one, is counted again.
+
+    A character that a cut has split is dropped, and so is a document of which nothing is left.
+    """
+    found = remove_repeats(docs, doc_id=doc_id, text=text)
+    whole = F.col("kept").cast("string")
+    left = F.when(F.col("n_removed") == 0, whole).otherwise(F.replace(F.make_valid_utf8(whole), F.lit("\ufffd"), F.lit("")))
+    rows = found.where("n_removed = 0 or n_removed < n_bytes").select("rest.*", left.alias(text))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
