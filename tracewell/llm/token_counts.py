@@ -16,9 +16,10 @@ the result has its own columns only.
 
 from __future__ import annotations
 
+import os
 import pickle
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 from itertools import islice
 
 import numpy as np
@@ -107,13 +108,21 @@ def _count_shard(tokenizer_file: str, table: pa.Table) -> pa.Table:
     return table_of(out, SUMS)
 
 
-def piece_counts(tokenizer_file: str, texts: Iterator[str], n: int) -> np.ndarray:
-    """Number of tokens of each text; special strings are handled as the tokenizer's file says."""
+@cache
+def load(tokenizer_file: str):
+    """The tokenizer, once per worker; Spark's tasks are the only threads."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_file)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    return tokenizer
+
+
+def piece_counts(tokenizer_file: str, texts: Iterator[str], n: int) -> np.ndarray:
+    """Number of tokens of each text; special strings are handled as the tokenizer's file says."""
+    tokenizer = load(tokenizer_file)
     out = np.zeros(n, np.int64)
     for low in range(0, n, 4096):
         some = list(islice(texts, 4096))
