@@ -60,7 +60,10 @@ def base_metrics(rows: DataFrame, text: str) -> DataFrame:
     same = lambda s, i: F.get("_s", i)["h"] == s["h"]
     four = three.withColumn("_at", F.sort_array(F.transform(F.filter("_s", lambda s, i: F.coalesce(same(s, i + 1), F.lit(False)) | ((i > 0) & F.coalesce(same(s, F.greatest(i - 1, F.lit(0))), F.lit(False)))), lambda s: s["i"])))
     covered = F.aggregate("_at", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), lambda a, p: F.struct((a["n"] + p + 3 - F.greatest(p, a["to"])).alias("n"), (p + 3).alias("to")), lambda a: a["n"])
-    return four.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_g", "_s", "_at")
+    five = four.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_g", "_s", "_at")
+    # a filter on the counts must not be pushed below them: inside the lambdas it would rebuild the arrays for each element
+    six = five.withColumn("_row", F.monotonically_increasing_id())
+    return six.withColumns({c: F.when(F.col("_row") >= 0, F.col(c)) for c in ("n_words", "n_repeat_words")}).drop("_row")
 
 
 def quality_rules(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", host: str = "source", min_words: int = 50, min_docs: int = 20, share: float = 0.1, depleted: float = 0.5) -> DataFrame:
