@@ -24,6 +24,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .kernels import SPACES, batch_of, chunks, owner, packed, prefix, span_hash, table_of, unpacked
 from .support import shards_for
 
-DEALT = "shard int, block long, meta binary, docs binary, freqs binary, counts binary, hashes binary, sizes binary, strings binary"
+DEALT = "shard int, block long, meta binary, docs binary, freqs binary, counts binary, sizes binary, strings binary"
 SUMS = "block long, meta binary, docs binary, sums binary"
 BLOCK_BYTES = 2 << 20
 
@@ -72,6 +73,7 @@ def count_units(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 def _deal(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each block and shard: documents and frequencies by unit, and the distinct units themselves."""
     limits = np.array([(s << 64) // n for s in range(1, n)], np.uint64)
+    press = zstandard.ZstdCompressor(level=1)
     for block, (batch, buf, off) in enumerate(chunks(batches, limit=BLOCK_BYTES), TaskContext.get().partitionId() << 32):
         doc, h, freq, one, start, end = count_units(buf, off)
         rows = np.concatenate([[0], np.searchsorted(h, limits), [len(h)]])
@@ -86,17 +88,19 @@ def _deal(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 continue
             docs = doc[a:b].astype(np.uint16 if len(off) <= 65536 else np.int32)
             texts = b"".join([buf[x:y].tobytes() for x, y in zip(start[ua:ub].tolist(), end[ua:ub].tolist(), strict=True)])
-            out.append((s, block, meta if s == block % n else None, *map(packed, (docs, freq[a:b], counts[ua:ub], h[one[ua:ub]], (end[ua:ub] - start[ua:ub]).astype(np.int32))), texts))
+            out.append((s, block, meta if s == block % n else None, *map(packed, (docs, freq[a:b], counts[ua:ub], end[ua:ub] - start[ua:ub])), press.compress(texts)))
         yield batch_of(out, DEALT)
 
 
 def _count_shard(tokenizer_file: str, table: pa.Table) -> pa.Table:
     """Counts every distinct unit of a shard once; returns the sums of its documents, block by block."""
-    hashes = [unpacked(x) for x in table["hashes"].to_pylist()]
+    unpress = zstandard.ZstdDecompressor()
+    sizes = [unpacked(x).astype(np.int64) for x in table["sizes"].to_pylist()]
+    bodies = [unpress.decompress(x) for x in table["strings"].to_pylist()]
+    hashes = [span_hash(prefix(np.frombuffer(t, np.uint8)), np.cumsum(n) - n, np.cumsum(n)) for t, n in zip(bodies, sizes, strict=True)]
     known, where = np.unique(np.concatenate(hashes), return_index=True)
-    sizes = np.concatenate([unpacked(x) for x in table["sizes"].to_pylist()])
-    ends = np.cumsum(sizes, dtype=np.int64)
-    texts = b"".join(table["strings"].to_pylist())
+    sizes, texts = np.concatenate(sizes), b"".join(bodies)
+    ends = np.cumsum(sizes)
     pieces = piece_counts(tokenizer_file, (texts[e - s : e].decode() for s, e in zip(sizes[where].tolist(), ends[where].tolist(), strict=True)), len(known))
     out = []
     for block, meta, docs, freqs, counts, own in zip(*(table[c].to_pylist() for c in ("block", "meta", "docs", "freqs", "counts")), hashes, strict=True):
