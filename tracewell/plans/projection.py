@@ -34,7 +34,7 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("us") - F.first("us").over(whole)) / 1e6).alias("start"),
         (F.coalesce(F.lead("us").over(own) - F.col("us"), F.lit(0)) / 1e6).alias("duration"),
         F.concat("base", *[F.lead("base", i).over(own) for i in range(1, K)]).alias("kmer"),
-        (F.col("mean") / F.sum("mean").over(per)).alias("posterior"),
+        (F.col("mean") / F.nullif(F.sum("mean").over(per), F.lit(0.0))).alias("posterior"),
     ).drop("us")
 
 
@@ -48,7 +48,7 @@ e0 AS (
 series AS (
   SELECT *, (us - first_value(us) OVER w) / 1e6 AS start, coalesce(lead(us) OVER w - us, 0) / 1e6 AS duration,
     CASE WHEN lead(base, 2) OVER w IS NOT NULL THEN base || lead(base, 1) OVER w || lead(base, 2) OVER w END AS kmer,
-    mean / sum(mean) OVER (PARTITION BY read_id, ref_pos) AS posterior
+    mean / nullif(sum(mean) OVER (PARTITION BY read_id, ref_pos), 0) AS posterior
   FROM e0 WINDOW w AS (PARTITION BY read_id ORDER BY event_index))"""
 
 
