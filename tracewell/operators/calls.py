@@ -11,7 +11,7 @@ from ..functions.sequences import reads_forward
 def site_marginals(rows: DataFrame, alphabet: str, key: list[str]) -> DataFrame:
     """Per key and base the share of the summed posterior; bases without any have 0. rows: key, base, posterior."""
     sums = rows.groupBy(*key).pivot("base", list(alphabet)).agg(F.sum("posterior"))
-    total = sum((F.coalesce(F.col(b), F.lit(0.0)) for b in alphabet), F.lit(0.0))
+    total = F.nullif(sum((F.coalesce(F.col(b), F.lit(0.0)) for b in alphabet), F.lit(0.0)), F.lit(0.0))  # null where nothing was seen
     return sums.select(*key, *[(F.coalesce(F.col(b), F.lit(0.0)) / total).alias(f"p{b}") for b in alphabet])
 
 
@@ -24,7 +24,7 @@ def consensus(calls: DataFrame, alphabet: str, site: str = "ref_pos", min_depth:
     along = reads_forward(F.col("strand"), F.col("forward"))
     each = [F.sum(F.when(along, F.col(f"p{b}")).otherwise(F.col(f"p{swap.get(b, b)}"))).alias(f"_s{b}") for b in alphabet]
     sums = calls.groupBy(site).agg(F.count("*").alias("depth"), *each).where(F.col("depth") >= min_depth)
-    total = sum((F.col(f"_s{b}") for b in alphabet), F.lit(0.0))
+    total = F.nullif(sum((F.col(f"_s{b}") for b in alphabet), F.lit(0.0)), F.lit(0.0))
     shares = sums.select(site, "depth", *[(F.col(f"_s{b}") / total).alias(f"p{b}") for b in alphabet])
     top = F.greatest(*[F.round(f"p{b}", 9) for b in alphabet])
     return shares.withColumn("call", F.coalesce(*[F.when(F.round(f"p{b}", 9) == top, b) for b in alphabet]))
@@ -38,4 +38,4 @@ def apply_calls(reference: DataFrame, calls: DataFrame, site: str = "ref_pos") -
 
 
 def normalised(rows: DataFrame, value: str, within: list[str], out: str) -> DataFrame:
-    return rows.withColumn(out, F.col(value) / F.sum(value).over(Window.partitionBy(*within)))
+    return rows.withColumn(out, F.col(value) / F.nullif(F.sum(value).over(Window.partitionBy(*within)), F.lit(0)))

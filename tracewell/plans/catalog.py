@@ -271,7 +271,7 @@ def kmer_model_query(spark, sf_dir):
     return m.select("kmer", "n", r("level_mean").alias("level_mean"), r("level_sd").alias("level_sd"), r("noise_mean", 5).alias("noise_mean"), r("noise_sd", 5).alias("noise_sd"), r("noise_lambda", 3).alias("noise_lambda"))
 
 
-_P = ", ".join(f"coalesce(sum(posterior) FILTER (base = '{b}'), 0) / sum(posterior) AS p{b}" for b in sq.METHYL)
+_P = ", ".join(f"coalesce(sum(posterior) FILTER (base = '{b}'), 0) / nullif(sum(posterior), 0) AS p{b}" for b in sq.METHYL)
 _R = ", ".join(f"round(p{b}, 6) AS p{b}" for b in sq.METHYL)
 
 
@@ -285,7 +285,7 @@ _ALONG = "(strand = 't') = forward"
 _SWAP = {"A": "T", "C": "G", "G": "C", "T": "A", "E": "E"}
 _SUMS = ", ".join(f"sum(CASE WHEN {_ALONG} THEN p{b} ELSE p{_SWAP[b]} END) AS s{b}" for b in sq.METHYL)
 _TOT = " + ".join(f"s{b}" for b in sq.METHYL)
-_SH = ", ".join(f"s{b} / ({_TOT}) AS p{b}" for b in sq.METHYL)
+_SH = ", ".join(f"s{b} / nullif({_TOT}, 0) AS p{b}" for b in sq.METHYL)
 _TOP = "greatest(" + ", ".join(f"round(p{b}, 9)" for b in sq.METHYL) + ")"
 _CALL = "CASE " + " ".join(f"WHEN round(p{b}, 9) = {_TOP} THEN '{b}'" for b in sq.METHYL) + " END"
 
@@ -330,11 +330,11 @@ def transition_norm(spark, sf_dir):
     return calls.normalised(t, "n", ["a"], "p").select("a", "b", r("p").alias("p"))
 
 
-@query("emission_mstep", S + "SELECT kmer, round(u, 6) AS level_mean, round(sqrt(greatest(q / p - u * u, 0)), 4) AS level_sd FROM (SELECT kmer, sum(posterior) AS p, sum(posterior * mean) / sum(posterior) AS u, sum(posterior * mean * mean) AS q FROM series WHERE kmer IS NOT NULL GROUP BY kmer)")
+@query("emission_mstep", S + "SELECT kmer, round(u, 6) AS level_mean, round(sqrt(greatest(q / nullif(p, 0) - u * u, 0)), 4) AS level_sd FROM (SELECT kmer, sum(posterior) AS p, sum(posterior * mean) / nullif(sum(posterior), 0) AS u, sum(posterior * mean * mean) AS q FROM series WHERE kmer IS NOT NULL GROUP BY kmer)")
 def emission_mstep(spark, sf_dir):
     p, x = F.col("posterior"), F.col("mean")
-    s = series(spark, sf_dir).where("kmer is not null").groupBy("kmer").agg(F.sum(p).alias("p"), (F.sum(p * x) / F.sum(p)).alias("u"), F.sum(p * x * x).alias("q"))
-    return s.select("kmer", r("u").alias("level_mean"), r(F.sqrt(F.greatest(F.col("q") / F.col("p") - F.col("u") * F.col("u"), F.lit(0.0))), 4).alias("level_sd"))
+    s = series(spark, sf_dir).where("kmer is not null").groupBy("kmer").agg(F.sum(p).alias("p"), (F.sum(p * x) / F.nullif(F.sum(p), F.lit(0.0))).alias("u"), F.sum(p * x * x).alias("q"))
+    return s.select("kmer", r("u").alias("level_mean"), r(F.sqrt(F.greatest(F.col("q") / F.nullif(F.col("p"), F.lit(0.0)) - F.col("u") * F.col("u"), F.lit(0.0))), 4).alias("level_sd"))
 
 
 @query("indel_probability", S + "SELECT read_id, CAST(x AS BIGINT) AS ref_pos, round(greatest(0, 1 - coalesce(p, 0)), 6) AS p_indel FROM (SELECT DISTINCT read_id FROM series) r CROSS JOIN range(100) t(x) LEFT JOIN (SELECT read_id, ref_pos, sum(posterior) / 2 AS p FROM series GROUP BY ALL) s ON s.read_id = r.read_id AND s.ref_pos = x".replace("SELECT read_id, CAST(x", "SELECT r.read_id, CAST(x"))
