@@ -18,8 +18,8 @@ def at(s: Column, start: Column | int, n: Column | int) -> Column:
 
 
 def kmers(s: Column, k: int) -> Column:
-    """Array of all full k-mers in order; empty if the sequence is shorter than k."""
-    return F.when(F.length(s) >= k, F.transform(F.sequence(F.lit(0), F.length(s) - k), lambda i: at(s, i, k))).otherwise(F.array().cast("array<string>"))
+    """Array of all full k-mers in order; empty if the sequence is shorter than k. One pass, however long the text."""
+    return F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))
 
 
 def kmer_rank(kmer: Column, alphabet: str, k: int) -> Column:
