@@ -151,10 +151,10 @@ def legal_transitions(spark, sf_dir):
     return left.join(right, "o").select("a", "b")
 
 
-@query("model_lookup", SM + "SELECT event_id, coalesce(round(level_mean, 6), 0) AS level_mean FROM series LEFT JOIN model USING (kmer)")
+@query("model_lookup", SM + "SELECT event_id, coalesce(round(level_mean, 9), 0) AS level_mean FROM series LEFT JOIN model USING (kmer)")
 def model_lookup(spark, sf_dir):
     s = series(spark, sf_dir)
-    return s.join(kmer_model(s), "kmer", "left").select("event_id", F.coalesce(r("level_mean"), F.lit(0.0)).alias("level_mean"))
+    return s.join(kmer_model(s), "kmer", "left").select("event_id", F.coalesce(r("level_mean", 9), F.lit(0.0)).alias("level_mean"))
 
 
 _MONO = S + """, d AS (SELECT DISTINCT read_id, ref_pos AS x, event_index AS y FROM series),
@@ -199,12 +199,12 @@ def seed_anchors(spark, sf_dir):
     return anchors.seeds(s, s, 8).where("id_a < id_b")
 
 
-@query("ancestor_fallback", SM + ", nodes AS (SELECT DISTINCT kmer FROM series WHERE kmer IS NOT NULL), v1 AS (SELECT substr(kmer, 1, 1) AS g, round(avg(level_mean), 6) AS v FROM model GROUP BY 1) SELECT n.kmer AS node, coalesce(round(CASE WHEN m.n >= 90 THEN m.level_mean END, 6), v1.v) AS value FROM nodes n LEFT JOIN model m USING (kmer) LEFT JOIN v1 ON v1.g = substr(n.kmer, 1, 1)")
+@query("ancestor_fallback", SM + ", nodes AS (SELECT DISTINCT kmer FROM series WHERE kmer IS NOT NULL), v1 AS (SELECT substr(kmer, 1, 1) AS g, round(avg(level_mean), 9) AS v FROM model GROUP BY 1) SELECT n.kmer AS node, coalesce(round(CASE WHEN m.n >= 90 THEN m.level_mean END, 9), v1.v) AS value FROM nodes n LEFT JOIN model m USING (kmer) LEFT JOIN v1 ON v1.g = substr(n.kmer, 1, 1)")
 def ancestor_fallback(spark, sf_dir):
     s = series(spark, sf_dir)
     m = kmer_model(s)
     tree = s.where("kmer is not null").select(F.col("kmer").alias("node"), F.substring("kmer", 1, 1).alias("parent"), F.lit("").alias("grandparent")).distinct()
-    values = m.where("n >= 90").select(F.col("kmer").alias("node"), r("level_mean").alias("value")).unionAll(m.groupBy(F.substring("kmer", 1, 1).alias("node")).agg(r(F.avg("level_mean")).alias("value")))
+    values = m.where("n >= 90").select(F.col("kmer").alias("node"), r("level_mean", 9).alias("value")).unionAll(m.groupBy(F.substring("kmer", 1, 1).alias("node")).agg(r(F.avg("level_mean"), 9).alias("value")))
     return metrics.with_fallback(values, tree)
 
 
@@ -265,10 +265,10 @@ def cdf_prefix(spark, sf_dir):
 # --- aggregates ----------------------------------------------------------------------------------------------------
 
 
-@query("kmer_model", SM + "SELECT kmer, n, round(level_mean, 6) AS level_mean, round(level_sd, 6) AS level_sd, round(noise_mean, 5) AS noise_mean, round(noise_sd, 5) AS noise_sd, round(noise_lambda, 3) AS noise_lambda FROM model")
+@query("kmer_model", SM + "SELECT kmer, n, round(level_mean, 9) AS level_mean, round(level_sd, 6) AS level_sd, round(noise_mean, 9) AS noise_mean, round(noise_sd, 6) AS noise_sd, round(noise_lambda, 3) AS noise_lambda FROM model")
 def kmer_model_query(spark, sf_dir):
     m = kmer_model(series(spark, sf_dir))
-    return m.select("kmer", "n", r("level_mean").alias("level_mean"), r("level_sd").alias("level_sd"), r("noise_mean", 5).alias("noise_mean"), r("noise_sd", 5).alias("noise_sd"), r("noise_lambda", 3).alias("noise_lambda"))
+    return m.select("kmer", "n", r("level_mean", 9).alias("level_mean"), r("level_sd").alias("level_sd"), r("noise_mean", 9).alias("noise_mean"), r("noise_sd", 6).alias("noise_sd"), r("noise_lambda", 3).alias("noise_lambda"))
 
 
 _P = ", ".join(f"coalesce(sum(posterior) FILTER (base = '{b}'), 0) / nullif(sum(posterior), 0) AS p{b}" for b in sq.METHYL)
@@ -383,9 +383,9 @@ def emission_match(spark, sf_dir):
     return with_model(spark, sf_dir).select("event_id", r(em.log_gauss(c("mean"), c("level_mean"), c("level_sd"))).alias("level_logp"), r(em.log_inv_gauss(c("stdv"), c("noise_mean"), c("noise_lambda"))).alias("noise_logp"))
 
 
-@query("descale", SM + "SELECT event_id, round((mean + 0.9 * level_mean - 1.1 * level_mean - 2.5) / 0.9, 6) AS descaled FROM series JOIN model USING (kmer)")
+@query("descale", SM + "SELECT event_id, round((mean + 0.9 * level_mean - 1.1 * level_mean - 2.5) / 0.9, 9) AS descaled FROM series JOIN model USING (kmer)")
 def descale(spark, sf_dir):
-    return with_model(spark, sf_dir).select("event_id", r(em.descale(F.col("mean"), F.col("level_mean"), F.lit(1.1), F.lit(2.5), F.lit(0.9))).alias("descaled"))
+    return with_model(spark, sf_dir).select("event_id", r(em.descale(F.col("mean"), F.col("level_mean"), F.lit(1.1), F.lit(2.5), F.lit(0.9)), 9).alias("descaled"))
 
 
 @query("skip_bins", SM + "SELECT event_id, CAST(least(floor(abs(level_mean - prev) / 0.5), 29) AS BIGINT) AS bin FROM (SELECT event_id, round(level_mean, 3) AS level_mean, lag(round(level_mean, 3)) OVER (PARTITION BY read_id ORDER BY event_index) AS prev FROM series JOIN model USING (kmer)) WHERE prev IS NOT NULL")
@@ -395,10 +395,10 @@ def skip_bins(spark, sf_dir):
     return s.select("event_id", "level_mean", F.lag("level_mean").over(w).alias("prev")).where("prev is not null").select("event_id", em.skip_bin(F.col("level_mean"), F.col("prev")).alias("bin"))
 
 
-@query("scaled_model", SM + "SELECT kmer, round(level_mean * 1.1 + 2.5, 6) AS level_mean, round(level_sd * 0.9, 6) AS level_sd, round(noise_mean * 1.2, 6) AS noise_mean, round(sqrt(pow(noise_mean * 1.2, 3) / (noise_lambda * 0.8)), 6) AS noise_sd FROM model")
+@query("scaled_model", SM + "SELECT kmer, round(level_mean * 1.1 + 2.5, 9) AS level_mean, round(level_sd * 0.9, 7) AS level_sd, round(noise_mean * 1.2, 9) AS noise_mean, round(sqrt(pow(noise_mean * 1.2, 3) / (noise_lambda * 0.8)), 6) AS noise_sd FROM model")
 def scaled_model(spark, sf_dir):
     m, c = kmer_model(series(spark, sf_dir)), F.col
-    return m.select("kmer", r(c("level_mean") * 1.1 + 2.5).alias("level_mean"), r(c("level_sd") * 0.9).alias("level_sd"), r(c("noise_mean") * 1.2).alias("noise_mean"), r(em.noise_sd(c("noise_mean") * 1.2, c("noise_lambda") * 0.8)).alias("noise_sd"))
+    return m.select("kmer", r(c("level_mean") * 1.1 + 2.5, 9).alias("level_mean"), r(c("level_sd") * 0.9, 7).alias("level_sd"), r(c("noise_mean") * 1.2, 9).alias("noise_mean"), r(em.noise_sd(c("noise_mean") * 1.2, c("noise_lambda") * 0.8)).alias("noise_sd"))
 
 
 @query("bivariate_gauss", SM + "SELECT event_id, round(-(a*a - 0.6*a*b + b*b) / (2 * 0.91) - ln(2 * pi() * level_sd * noise_sd * sqrt(0.91)), 6) AS logp FROM (SELECT *, (mean - level_mean) / level_sd AS a, (stdv - noise_mean) / noise_sd AS b FROM series JOIN model USING (kmer))")
