@@ -1,8 +1,9 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Every step is a group minimum joined back to its edges, so a node with very many edges costs partial minima and a
-join that can be split, never one large group. Each round's edges are written to the shared folder, which cuts the
-lineage. At the end every node points at the least node of its component.
+join that can be split, never one large group: the neighbours' minima are written before they are joined, since an
+aggregate below a join would keep adaptive execution from splitting it. Each round's edges are written to the shared
+folder, which cuts the lineage. At the end every node points at the least node of its component.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         last = seen
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
