@@ -37,5 +37,13 @@ def apply_calls(reference: DataFrame, calls: DataFrame, site: str = "ref_pos") -
     return new.groupBy("contig").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(site, "base"))), lambda x: x["base"]), "").alias("sequence"))
 
 
+def column_pairs(rows: DataFrame, column: str) -> DataFrame:
+    """a, b (a <= b), pairs, columns: pairs of rows that show bases a and b in one column; a column costs its few base counts."""
+    n = rows.groupBy(column, "base").agg(F.count("*").alias("n"))
+    x, y = n.select(column, F.col("base").alias("a"), F.col("n").alias("_m")), n.select(column, F.col("base").alias("b"), F.col("n").alias("_n"))
+    pairs = F.when(F.col("a") == F.col("b"), F.expr("_m * (_m - 1) div 2")).otherwise(F.col("_m") * F.col("_n"))
+    return x.join(y, column).where("a <= b").groupBy("a", "b").agg(F.sum(pairs).alias("pairs"), F.count("*").alias("columns"))
+
+
 def normalised(rows: DataFrame, value: str, within: list[str], out: str) -> DataFrame:
     return rows.withColumn(out, F.col(value) / F.nullif(F.sum(value).over(Window.partitionBy(*within)), F.lit(0)))

@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .priors import concentration
+
 MAX_GROUPS = 46_656  #: k-mers of the largest model: bounds what the driver holds
 
 
@@ -32,8 +34,11 @@ def _assign(rows: DataFrame, weights: dict, mu: np.ndarray, sd: np.ndarray, salt
     return at.select("group", "x", walk.alias("z"))
 
 
-def sample(rows: DataFrame, components: int = 12, iterations: int = 30, burn_in: int = 10, thin: int = 5, seed: int = 1, gamma: float = 2.0, alpha: float = 4.0) -> tuple[dict, list]:
-    """Weights by group and components of each kept sample. rows: group, id (unique), x."""
+def sample(rows: DataFrame, components: int = 12, iterations: int = 30, burn_in: int = 10, thin: int = 5, seed: int = 1, gamma: float = 2.0, alpha: float = 4.0, concentrations: tuple[float, float] | None = None) -> tuple[dict, list]:
+    """Weights by group and components of each kept sample. rows: group, id (unique), x.
+
+    concentrations: shape and rate of the gamma prior of gamma and alpha, which are then drawn anew in every sweep.
+    """
     rng = np.random.default_rng(seed)
     first = rows.agg(F.avg("x").alias("m"), F.var_pop("x").alias("v")).first()
     mu0, var0 = float(first["m"] or 0.0), max(float(first["v"] or 1.0), 1e-6)
@@ -67,6 +72,9 @@ def sample(rows: DataFrame, components: int = 12, iterations: int = 30, burn_in:
             for k in np.flatnonzero(c):
                 tables[k] += (rng.random(int(c[k])) < alpha * base[k] / (alpha * base[k] + np.arange(int(c[k])))).sum()
         base = rng.dirichlet(gamma / components + tables)
+        if concentrations is not None:
+            gamma = concentration(rng, gamma, np.array([tables.sum()]), np.count_nonzero(tables), *concentrations)
+            alpha = concentration(rng, alpha, np.array([c.sum() for c in by.values()]), tables.sum(), *concentrations)
         weights = {g: rng.dirichlet(np.maximum(alpha * base + c, 1e-6)) for g, c in by.items()}
         if step >= burn_in and (step - burn_in) % thin == 0:
             kept.append(({g: w.copy() for g, w in weights.items()}, mu.copy(), sd.copy()))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import emissions as em
 from ..functions import sequences as sq
-from ..operators import anchors, calls, metrics, scaling, windows
+from ..functions import splines
+from ..operators import anchors, calls, metrics, priors, scaling, windows
 from .projection import MODEL, SEQUENCES, SERIES, K, kmer_model, sequences, series, with_sql
 from .projection import anchors as anchor_pairs
 from .registry import query, table
@@ -110,6 +111,13 @@ def kmer_overlap_shift(spark, sf_dir):
     return s.select("read_id", "event_index", sq.overlap_shift(F.col("a"), F.col("kmer"), K).cast("long").alias("shift"))
 
 
+@query("assembled_reads", S + """, d AS (SELECT read_id, event_index, kmer, lag(kmer) OVER (PARTITION BY read_id ORDER BY event_index) AS a FROM series WHERE kmer IS NOT NULL AND event_id % 5 <> 0)
+SELECT read_id, string_agg(CASE WHEN a IS NULL THEN kmer WHEN a = kmer THEN '' WHEN substr(a, 2, 2) = substr(kmer, 1, 2) THEN right(kmer, 1) WHEN substr(a, 3, 1) = substr(kmer, 1, 1) THEN right(kmer, 2) ELSE kmer END, '' ORDER BY event_index) AS sequence FROM d GROUP BY read_id""")
+def assembled_reads(spark, sf_dir):
+    """Reads put together from their events' k-mers where a fifth of the events is missing."""
+    return windows.assemble(series(spark, sf_dir).where("kmer is not null and event_id % 5 <> 0"), K)
+
+
 @query("reference_positions", S + "SELECT event_id, CASE WHEN (strand = 't') = forward THEN ref_pos + 7 ELSE 97 - (ref_pos + 93) END AS position, CASE WHEN (strand = 't') = forward THEN kmer ELSE reverse(translate(kmer, 'ACGTE', 'TGCAG')) END AS ref_kmer FROM series")
 def reference_positions(spark, sf_dir):
     st, fw = F.col("strand"), F.col("forward")
@@ -193,10 +201,39 @@ def cigar_to_anchors(spark, sf_dir):
     return anchors.from_cigar(ops, 3)
 
 
-@query("seed_anchors", SQ + ", k AS (SELECT read_id, pos, substr(sequence, CAST(pos AS BIGINT) + 1, 8) AS kmer FROM (SELECT *, unnest(range(0, length(sequence) - 7)) AS pos FROM seqs)), u AS (SELECT read_id, kmer, CAST(min(pos) AS BIGINT) AS pos FROM k GROUP BY read_id, kmer HAVING count(*) = 1) SELECT a.read_id AS id_a, b.read_id AS id_b, a.pos AS x, b.pos AS y, kmer FROM u a JOIN u b USING (kmer) WHERE a.read_id < b.read_id")
+_REFERENCE = "ref AS (SELECT string_agg(base, '' ORDER BY ref_pos) AS sequence FROM (SELECT ref_pos, base FROM series WHERE base IS NOT NULL AND ref_pos IS NOT NULL GROUP BY ref_pos, base QUALIFY row_number() OVER (PARTITION BY ref_pos ORDER BY count(*) DESC, base) = 1))"
+
+
+def reference(s: DataFrame) -> DataFrame:
+    """contig, sequence: each position's most frequent base, ties to the first letter. One row, as long as there are positions."""
+    n = s.where("base is not null and ref_pos is not null").groupBy("ref_pos", "base").agg(F.count("*").alias("n"))
+    top = n.groupBy("ref_pos").agg(F.min_by("base", F.struct(-F.col("n"), F.col("base"))).alias("base"))
+    return top.groupBy(F.lit("ref").alias("contig")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ref_pos", "base"))), lambda x: x["base"]), "").alias("sequence"))
+
+
+@query("seed_anchors", SQ + f", {_REFERENCE}" + """,
+ka AS (SELECT substr(sequence, CAST(pos AS BIGINT) + 1, 5) AS kmer, CAST(min(pos) AS BIGINT) AS x FROM (SELECT *, unnest(range(0, length(sequence) - 4)) AS pos FROM ref) GROUP BY kmer HAVING count(*) = 1),
+kb AS (SELECT read_id, substr(sequence, CAST(pos AS BIGINT) + 1, 5) AS kmer, CAST(min(pos) AS BIGINT) AS y FROM (SELECT *, unnest(range(0, length(sequence) - 4)) AS pos FROM seqs) GROUP BY read_id, kmer HAVING count(*) = 1)
+SELECT read_id, x, y, kmer FROM ka JOIN kb USING (kmer)""")
 def seed_anchors(spark, sf_dir):
-    s = sequences(series(spark, sf_dir)).select(F.col("read_id").alias("id"), "sequence")
-    return anchors.seeds(s, s, 8).where("id_a < id_b")
+    """Five-mers that a read and the reference each have once."""
+    s = series(spark, sf_dir)
+    found = anchors.seeds(reference(s).select(F.col("contig").alias("id"), "sequence"), sequences(s).select(F.col("read_id").alias("id"), "sequence"), 5)
+    return found.select(F.col("id_b").alias("read_id"), "x", "y", "kmer")
+
+
+@query("corrected_reference", S + f", {_REFERENCE}" + """, c AS (SELECT ref_pos, base FROM series WHERE base IS NOT NULL AND ref_pos IS NOT NULL GROUP BY ref_pos, base QUALIFY row_number() OVER (PARTITION BY ref_pos ORDER BY round(sum(posterior), 6) DESC NULLS LAST, base) = 1)
+SELECT CAST(g AS BIGINT) AS register, string_agg(CASE WHEN i % 4 = g THEN coalesce(base, 'X') ELSE substr(sequence, CAST(i AS BIGINT) + 1, 1) END, '' ORDER BY i) AS sequence
+FROM (SELECT sequence, unnest(range(0, length(sequence))) AS i FROM ref) r CROSS JOIN range(4) t(g) LEFT JOIN c ON c.ref_pos = i GROUP BY g""")
+def corrected_reference(spark, sf_dir):
+    """Every register's degenerate reference, its masked places filled with the calls of the largest summed posterior."""
+    s = series(spark, sf_dir)
+    sums = s.where("base is not null and ref_pos is not null").groupBy("ref_pos", "base").agg(F.coalesce(r(F.sum("posterior")), F.lit(-1.0)).alias("p"))
+    called = sums.groupBy("ref_pos").agg(F.min_by("base", F.struct(-F.col("p"), F.col("base"))).alias("call"))
+    masked = reference(s).withColumn("register", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
+    masked = masked.select(F.col("register").alias("contig"), sq.strided_mask(F.col("sequence"), 4, F.col("register").cast("int")).alias("sequence"))
+    at = called.withColumn("contig", F.pmod("ref_pos", F.lit(4)))
+    return calls.apply_calls(masked, at).select(F.col("contig").alias("register"), "sequence")
 
 
 @query("ancestor_fallback", SM + ", nodes AS (SELECT DISTINCT kmer FROM series WHERE kmer IS NOT NULL), v1 AS (SELECT substr(kmer, 1, 1) AS g, round(avg(level_mean), 9) AS v FROM model GROUP BY 1) SELECT n.kmer AS node, coalesce(round(CASE WHEN m.n >= 90 THEN m.level_mean END, 9), v1.v) AS value FROM nodes n LEFT JOIN model m USING (kmer) LEFT JOIN v1 ON v1.g = substr(n.kmer, 1, 1)")
@@ -357,12 +394,13 @@ def nig_stats(spark, sf_dir):
     return g.select("kmer", r("mu").alias("mu"), "nu", "alpha", r("beta", 2).alias("beta"))
 
 
-@query("substitutions", S + ", c AS (SELECT read_id, ref_pos, max_by(base, (posterior, event_id)) AS base FROM series WHERE read_id % 10 < 10 GROUP BY ALL) SELECT a.read_id AS a, b.read_id AS b, count(*) FILTER (a.base <> b.base) AS substitutions, count(*) FILTER (a.base = b.base) AS identities FROM c a JOIN c b USING (ref_pos) WHERE a.read_id < b.read_id AND a.read_id % 10 = b.read_id % 10 GROUP BY ALL")
+@query("substitutions", S + """, c AS (SELECT read_id, ref_pos, max_by(base, (posterior, event_id)) AS base FROM series WHERE posterior IS NOT NULL GROUP BY ALL),
+n AS (SELECT ref_pos, base, count(*) AS n FROM c GROUP BY ALL)
+SELECT a.base AS a, b.base AS b, CAST(sum(CASE WHEN a.base = b.base THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END) AS BIGINT) AS pairs, count(*) AS columns FROM n a JOIN n b USING (ref_pos) WHERE a.base <= b.base GROUP BY ALL""")
 def substitutions(spark, sf_dir):
-    """Columns of reads of one set (read_id modulo 10) compared pair by pair."""
-    c = series(spark, sf_dir).groupBy("read_id", "ref_pos").agg(F.max_by("base", F.struct("posterior", "event_id")).alias("base")).withColumn("set", F.col("read_id") % 10)
-    a, b = c.select(F.col("read_id").alias("a"), "ref_pos", "set", F.col("base").alias("x")), c.select(F.col("read_id").alias("b"), "ref_pos", "set", F.col("base").alias("y"))
-    return a.join(b, ["set", "ref_pos"]).where("a < b").groupBy("a", "b").agg(F.count_if(F.col("x") != F.col("y")).alias("substitutions"), F.count_if(F.col("x") == F.col("y")).alias("identities"))
+    """Over all columns, how many pairs of reads have bases a and b there; from each column's base counts, not from pairs."""
+    c = series(spark, sf_dir).where("posterior is not null").groupBy("read_id", "ref_pos").agg(F.max_by("base", F.struct("posterior", "event_id")).alias("base"))
+    return calls.column_pairs(c, "ref_pos")
 
 
 @query("upper_median", S + "SELECT kmer, list_sort(list(mean))[CAST(count(*) // 2 AS BIGINT) + 1] AS median, max(mean) AS top FROM series WHERE kmer IS NOT NULL GROUP BY kmer")
@@ -425,6 +463,52 @@ def distribution_distances(spark, sf_dir):
     return metrics.distances(metrics.pairs(h, "base")).select("a", "b", *[r(c).alias(c) for c in ("kl", "hellinger", "l2", "jensen_shannon")])
 
 
+@query("normal_distance", _H + """, m AS (SELECT base, avg(mean) AS mu, stddev_pop(mean) AS sd FROM series WHERE base IS NOT NULL GROUP BY base),
+b AS (SELECT base, grid_ix, pdf AS p, exp(-0.5 * pow((x - mu) / sd, 2)) / (sd * sqrt(2 * pi())) AS q FROM density JOIN m USING (base)),
+w AS (SELECT base, (bc + lag(bc) OVER o) * 5 AS bc, (sq + lag(sq) OVER o) * 5 AS sq FROM (SELECT *, sqrt(p * q) AS bc, (p - q) * (p - q) AS sq FROM b) WINDOW o AS (PARTITION BY base ORDER BY grid_ix))
+SELECT base, round(sqrt(greatest(1 - sum(bc), 0)), 6) AS hellinger, round(sqrt(sum(sq)), 6) AS l2 FROM w GROUP BY base""")
+def normal_distance(spark, sf_dir):
+    """Each base's histogram against the normal density of its mean and deviation."""
+    s = series(spark, sf_dir).where("base is not null")
+    m = s.groupBy("base").agg(F.avg("mean").alias("mu"), F.stddev_pop("mean").alias("sd"))
+    both = metrics.histogram(s, "base", "mean", 10.0, 50).withColumnRenamed("pdf", "p").join(m, "base").withColumn("q", F.exp(em.log_gauss(F.col("x"), F.col("mu"), F.col("sd"))))
+    d = metrics.distances(both.select(F.col("base").alias("a"), F.lit("normal").alias("b"), "grid_ix", "x", "p", "q"))
+    return d.select(F.col("a").alias("base"), r("hellinger").alias("hellinger"), r("l2").alias("l2"))
+
+
+_CH = [f"substr('ACEGT', CAST(id // {5 ** (2 - i)} % 5 AS BIGINT) + 1, 1)" for i in range(3)]
+
+
+@query("density_trees", "WITH w AS (SELECT " + " || ".join(_CH) + """ AS node FROM range(125) t(id)),
+p AS (SELECT node, 'flat' AS topology, '' AS parent FROM w
+  UNION ALL SELECT node, 'multiset', '<' || array_to_string(list_sort(string_split(node, '')), '') || '>' FROM w
+  UNION ALL SELECT node, 'grouped_multiset', '<' || array_to_string(list_sort(string_split(translate(node, 'ACEGT', '01102'), '')), '') || '>' FROM w
+  UNION ALL SELECT node, 'middle', '<' || substr(node, 2, 1) || '>' FROM w
+  UNION ALL SELECT node, 'purines', '<' || CAST(length(node) - length(translate(node, 'AG', '')) AS VARCHAR) || '>' FROM w)
+SELECT topology, node, parent FROM p UNION ALL SELECT DISTINCT topology, parent, '' FROM p WHERE parent <> ''""")
+def density_trees(spark, sf_dir):
+    """The trees that the hierarchies of k-mer densities take, one for each topology."""
+    out = None
+    for name in priors.TOPOLOGIES:
+        one = priors.tree(spark, sq.METHYL, K, name, "01102").select(F.lit(name).alias("topology"), "node", "parent")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query("spline_density")
+def spline_density(spark, sf_dir):
+    """Each event's density on the spline through its base's histogram."""
+    s = series(spark, sf_dir).where("base is not null")
+    knots = splines.with_slopes(metrics.histogram(s, "base", "mean", 10.0, 50), "base")
+    return splines.evaluate(s.select("event_id", "base", "mean"), knots, 5.0, 10.0, 50, "base", "mean").select("event_id", "base", r("density", 9).alias("density"))
+
+
+@query("normal_gamma_prior")
+def normal_gamma_prior(spark, sf_dir):
+    found = priors.normal_gamma_mle(kmer_model(series(spark, sf_dir)))
+    return spark.createDataFrame([(n, float(v)) for n, v in found.items()], "parameter string, value double")
+
+
 @query("grid_moments", _H + " SELECT base, round(sum(x * pdf * dx), 6) AS expected, round(sum(x * x * pdf * dx) - pow(sum(x * pdf * dx), 2), 4) AS variance FROM (SELECT *, x - lag(x) OVER (PARTITION BY base ORDER BY grid_ix) AS dx FROM density) GROUP BY base")
 def grid_moments(spark, sf_dir):
     m = metrics.moments(metrics.histogram(series(spark, sf_dir), "base", "mean", 10.0, 50), "base")
