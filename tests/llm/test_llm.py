@@ -155,6 +155,23 @@ def test_repeats(docs, rows, empty, batch):
     assert left.columns == docs.columns and left.count() == sum(not x[2] or x[2] < x[1] for x in want)
 
 
+def test_repeats_of_periodic_text(spark):
+    """Runs of different lengths with the same short tail: repeats longer than the suffix order, and zero bytes."""
+    import random
+
+    r = random.Random(4)
+    other = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(30))
+    texts = ["-" * 100 + "\n" + other(), "-" * 120 + "\n" + other(), other() + "-" * 400, "x" + "-" * 180 + "\n" + other()]
+    texts += ["of " * n + f"tail {other()}" for n in (40, 60, 200)] + [f"{other()}{'=+' * n}| shared tail" for n in (30, 64, 90)]
+    texts += [c * n + "\n" + other() for c in "=_.*~#+ox" for n in (100, 120)]  # whether a window's least hash is the run's is a matter of luck
+    texts += ["\0" * 60, "\0" * 70 + "a", "\0" * 200 + "ab", "z" + "\0" * 130, other() + "\0" * 75 + "ab"]
+    rows = list(enumerate(texts))
+    for order in (rows, [(100 - i, t) for i, t in rows]):
+        df = repeats.remove_repeats(spark.createDataFrame(order, "doc_id long, text string"))
+        have = [(x.rest.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in df.collect()]
+        assert key(have) == key(repeats_by_hand(order, 50))
+
+
 def test_maximal_repeats():
     segments = [b"xabcabcabcq", b"yabcabcz", b"zabcabcz"]
     body = np.frombuffer(b"".join(segments), np.uint8)

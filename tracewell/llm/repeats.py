@@ -12,8 +12,9 @@ wherever they stand. Consecutive windows of a document with the same least hash
    The least doc_id of such a maximal repeat goes to every window it covers.
 3. Blocks get back, for each segment, the least doc_id over runs of its windows, and cut what a smaller document has.
 
-A shard's suffixes are compared up to the end of their segment, so longer repeats come as overlapping groups, which
-the removal joins again; no occurrence is lost by that. Text crosses the network as compressed blocks; nothing is
+A shard's suffixes are ordered by their first DEPTH bytes, or to the end of their segment where that comes first. So a
+repeat longer than DEPTH, as in periodic text, comes as the overlapping groups of DEPTH bytes at each of its suffixes,
+whatever byte stands before them, and the removal joins them again; no occurrence is lost by that. Text crosses the network as compressed blocks; nothing is
 collected, and a line that every document has is one segment per block in one shard.
 
 Defined results: null and empty texts have no bytes; texts shorter than `span` lose nothing; a null doc_id is larger
@@ -214,11 +215,15 @@ def lcp_intervals(lcp: list[int]) -> tuple[list[int], list[int], list[int]]:
 
 
 def enhanced_suffix_array(body: np.ndarray, at: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes at `at`, each of `room` bytes, up to DEPTH bytes; and their common prefixes with the one before."""
-    rows = np.lib.stride_tricks.sliding_window_view(np.append(body, np.zeros(DEPTH, np.uint8)), DEPTH)[at]
-    rows[np.arange(DEPTH) >= room[:, None]] = 0
-    order = np.argsort(rows.view(f"V{DEPTH}").ravel())
-    rows, room = rows[order], np.minimum(room[order], DEPTH)
+    """Order of the suffixes at `at`, each of `room` bytes, up to DEPTH bytes; and their common prefixes with the one before.
+
+    The room is a last byte of the key: of suffixes that differ by zero bytes at their ends only, the shorter comes first.
+    """
+    rows = np.lib.stride_tricks.sliding_window_view(np.append(body, np.zeros(DEPTH + 1, np.uint8)), DEPTH + 1)[at]
+    rows[np.arange(DEPTH + 1) >= room[:, None]] = 0
+    rows[:, DEPTH] = np.minimum(room, DEPTH)
+    order = np.argsort(rows.view(f"V{DEPTH + 1}").ravel())
+    rows, room = rows[order, :DEPTH], np.minimum(room[order], DEPTH)
     lcp = np.zeros(len(at), np.int64)
     differ = rows[1:] != rows[:-1]
     where = differ.argmax(axis=1)
@@ -228,7 +233,7 @@ def enhanced_suffix_array(body: np.ndarray, at: np.ndarray, room: np.ndarray) ->
 
 
 def maximal_repeats(body: np.ndarray, at: np.ndarray, room: np.ndarray, before: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Left- and right-maximal repeats of at least `span` bytes: lengths, bounds into the suffixes, and the suffixes, group by group.
+    """Left- and right-maximal repeats of at least `span` bytes, and all of DEPTH bytes: lengths, bounds into the suffixes, and the suffixes, group by group.
 
     before: the byte before each suffix, or -1 where its segment begins, which counts as different from any.
     """
@@ -243,7 +248,7 @@ def maximal_repeats(body: np.ndarray, at: np.ndarray, room: np.ndarray, before:
     ends = np.stack([first, last + 1], axis=1).ravel()
     b = np.append(before[order], 0)  # so that an end may be the array's
     low, high = np.minimum.reduceat(b, ends)[::2], np.maximum.reduceat(b, ends)[::2]
-    diverse = (low != high) | (low < 0)
+    diverse = (low != high) | (low < 0) | (depth >= DEPTH)  # beyond DEPTH the order does not tell how far they go on
     depth, first, last = depth[diverse], first[diverse], last[diverse]
     count = last - first + 1
     bounds = np.concatenate([[0], np.cumsum(count)])
