@@ -5,14 +5,19 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracewell.llm import decontaminate, packing, parity_join, quality_rules, repeats
 from tracewell.llm.support import shared_dir
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
-    return quality_rules.quality_rules(docs, keep=docs.columns).where("kept").select(*docs.columns)
+    """Documents that pass the quality rules, without the lines above the limit; `n_chars` is counted again."""
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    rows = quality_rules.quality_rules(docs, keep=others, clean="text").where("kept")
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,6 +109,24 @@ def test_quality_rules(docs, rows, empty):
     assert {r.doc_id for r in kept.collect()} == {i for i, t, *_ in rows if not rules_by_hand(t)[5]}
 
 
+def test_lines_above_the_limit_go(spark):
+    """The text without them is returned, and the pipeline's stage writes it and counts n_chars again."""
+    import corpus_pipeline
+
+    letters = lambda i: str(i).translate(str.maketrans("0123456789", "abcdefghij"))  # noqa: E731  digits would count as one
+    body = lambda i: " ".join(f"{letters(i)}x{letters(k)}" for k in range(60))
+    rows = [(i, f"{body(i)}\n\nShare   page {i}\nend {'abcdefgh'[i % 8]}{i // 8 * 'z'}", "en", "h" if i < 40 else "g", 1) for i in range(50)]
+    rows += [rows[3], (90, None, "en", "h", 0), (91, "share PAGE 7\n" + body(91), None, "h", 2), (92, "share page 1", "en", "h", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    without = lambda t, h: "\n".join(x for x in (t or "").split("\n") if h != "h" or not x.lower().startswith("share"))
+    have = quality_rules.quality_rules(docs, clean="clean").select("doc_id", "clean")
+    assert key(map(tuple, have.collect())) == key([(i, without(t, h)) for i, t, _, h, _ in rows])
+    stage = corpus_pipeline.rules(spark, docs, "")
+    assert stage.columns == docs.columns
+    want = [(i, without(t, h), g, h, len(without(t, h))) for i, t, g, h, _ in rows if i not in (90, 92)]
+    assert key(map(tuple, stage.collect())) == key(want)
+
+
 # --- 4
 
 

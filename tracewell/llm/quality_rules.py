@@ -3,7 +3,8 @@
 Base rules count words, symbols, repeated lines and repeated three-word windows inside a text. The cross-document
 rule hashes every line (A-Z lower-cased, digit runs as 0, white space squeezed), counts in how many distinct texts of
 its host each occurs, and takes away the lines above the limit: more than `min_docs` texts and more than `share` of
-the host's distinct texts. A document that loses over `depleted` of its words that way is rejected.
+the host's distinct texts. A document that loses over `depleted` of its words that way is rejected; the text that the
+others go on with, without those lines, is the column `clean`, if one is named.
 
 Copies of a text count as one, so a document is not rejected for having been copied. Line counts are pre-aggregated
 in each task before they are dealt by (host, line), so a host with a third of all rows or a line on every page is
@@ -66,8 +67,9 @@ def base_metrics(rows: DataFrame, text: str) -> DataFrame:
     return six.withColumns({c: F.when(F.col("_row") >= 0, F.col(c)) for c in ("n_words", "n_repeat_words")}).drop("_row")
 
 
-def quality_rules(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", host: str = "source", min_words: int = 50, min_docs: int = 20, share: float = 0.1, depleted: float = 0.5) -> DataFrame:
-    """`keep`, the base counts, base_failed, n_removed_words (of lines above the limit) and kept of every row."""
+def quality_rules(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", host: str = "source", min_words: int = 50, min_docs: int = 20, share: float = 0.1, depleted: float = 0.5, clean: str | None = None) -> DataFrame:
+    """`keep`, the base counts, base_failed, n_removed_words (of lines above the limit) and kept of every row; and
+    if `clean` names a column, there the text without these lines (a null text's is empty)."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], body.alias("_text"), F.coalesce(F.col(host), F.lit("")).alias("_host"), F.col(host).isNull().alias("_nohost"), F.xxhash64(body, F.octet_length(body)).alias("_key"))
 
@@ -79,17 +81,20 @@ def quality_rules(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str
     hosts = per_text.select("_host", "_nohost", "_key").distinct().groupBy("_host", "_nohost").agg(F.count("*").alias("host_docs"))
     over = counts.where(F.col("n_docs") > min_docs).join(hosts, ["_host", "_nohost"]).where(F.col("n_docs") > share * F.col("host_docs")).select("_host", "_nohost", "line")
     # a text that is there twice adds its words twice here, so per row they are divided by its number of rows
-    lost = per_text.join(over, ["_host", "_nohost", "line"], "left_semi").groupBy("_host", "_nohost", "_key").agg(F.sum("words").alias("_lost"))
+    lost = per_text.join(over, ["_host", "_nohost", "line"], "left_semi").groupBy("_host", "_nohost", "_key").agg(F.sum("words").alias("_lost"), *([F.collect_set("line").alias("_cut")] if clean else []))
     copies = texts.groupBy("_host", "_nohost", "_key").agg(F.count("*").alias("_copies"))
-    lost = lost.join(copies, ["_host", "_nohost", "_key"]).select("_host", "_nohost", "_key", F.expr("_lost div _copies").alias("_removed"))
+    lost = lost.join(copies, ["_host", "_nohost", "_key"]).select("_host", "_nohost", "_key", F.expr("_lost div _copies").alias("_removed"), *(["_cut"] if clean else []))
 
-    judged = base_metrics(rows, "_text").drop("_text").join(lost, ["_host", "_nohost", "_key"], "left")
+    judged = base_metrics(rows, "_text")
+    judged = (judged if clean else judged.drop("_text")).join(lost, ["_host", "_nohost", "_key"], "left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     removed = F.coalesce("_removed", F.lit(0))
+    left = F.array_join(F.filter(F.split("_text", "\n"), lambda x: ~F.array_contains("_cut", line_key(x))), "\n")
     return judged.select(
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
         removed.cast("long").alias("n_removed_words"),
         (~failed & (removed <= depleted * F.col("n_words"))).alias("kept"),
+        *([F.when(F.col("_cut").isNull(), F.col("_text")).otherwise(left).alias(clean)] if clean else []),
     )

@@ -34,7 +34,8 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    judged = quality_rules.quality_rules(table(spark, sf_dir, "documents"), clean="clean")
+    return judged.withColumn("clean_sha256", F.sha2("clean", 256)).drop("clean")
 
 
 @query
