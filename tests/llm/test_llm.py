@@ -298,6 +298,26 @@ def test_quality_lm_rejects_junk(spark):
     assert not any(judged[1000 + i] for i in range(20)) and np.mean([judged[i] for i in range(300)]) > 0.95
 
 
+def test_quality_lm_samples_each_language(spark):
+    """A rare language has its own bound, and a text that crosses a bound does not end the sample."""
+    rows = [(i, "en", 1000) for i in range(400)] + [(1000 + i, "is", 100) for i in range(9)] + [(2000, "en", 9000), (2001, "is", 60_000), (2002, "is", 2000), (2003, "fo", 5000)]
+    for seed in range(3):
+        sizes = spark.createDataFrame(rows, "doc_id long, _l string, size int").selectExpr("doc_id", "_l", "size", f"xxhash64(doc_id, {seed}) as rank")
+        have = defaultdict(set)
+        for r in quality_lm.training_sample(sizes, 10_000).collect():
+            have[r["_l"]].add(r.doc_id)
+        assert len(have["en"]) == 10 and max(have["en"]) < 400
+        assert have["is"] == {1000 + i for i in range(9)} | {2002} and have["fo"] == {2003}
+
+
+def test_quality_lm_of_a_rare_language(spark):
+    rows = [(i, f"some english words {i} " * 20, "en") for i in range(300)] + [(1000 + i, f"rare words of it {i} " * 20, "is") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = docs.select("doc_id")
+    judged = quality_lm.quality_by_perplexity(docs, trusted, train_bytes=3000).where("lang = 'is'").collect()
+    assert len(judged) == 4 and all(r.log10_prob < -1 for r in judged)  # without a training text it is 0
+
+
 # --- 7
 
 
