@@ -461,6 +461,16 @@ def test_bands_lose_no_pair():
                 assert set(keys[text == 0]) & set(keys[text == 1])
 
 
+@pytest.mark.parametrize("percent,n", [(80, 4), (75, 3), (90, 9), (50, 1)])
+def test_bands_of_the_smallest_sets(percent, n):
+    """n of n + 1 shingles in common are exactly `percent`."""
+    for seed in range(20):
+        a = np.sort(np.random.default_rng(seed).integers(0, 1 << 63, n + 1, dtype=np.uint64))
+        b = np.delete(a, seed % (n + 1))
+        keys, text = parity_join.block_keys(np.concatenate([a, b]), np.array([0, n + 1, 2 * n + 1]), parity_join.Bands(percent))
+        assert set(keys[text == 0]) & set(keys[text == 1])
+
+
 def test_components(spark):
     r = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in r.integers(0, 120, (90, 2))] + [(500, k) for k in range(501, 540)] + [(600 + k, 601 + k) for k in range(25)]

@@ -66,7 +66,7 @@ class Bands:
 
     def __init__(self, percent: int, ratio: float = 1.3, top: int = 1 << 40):
         weight = 0.865 * percent / (100 - percent)  # mean shingles of a block
-        first = percent // (100 - percent) + 1  # smaller sets are linked only if equal
+        first = -(-percent // (100 - percent))  # smaller sets are linked only if equal
         low = [first]
         while low[-1] < top:
             low.append(max(low[-1] + 1, int(low[-1] * ratio)))
