@@ -1,15 +1,21 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
 Base rules count words, symbols, repeated lines and repeated three-word windows inside a text. The cross-document
-rule hashes every line (A-Z lower-cased, digit runs as 0, white space squeezed), counts in how many distinct texts of
-its host each occurs, and takes away the lines above the limit: more than `min_docs` texts and more than `share` of
-the host's distinct texts. A document that loses over `depleted` of its words that way is rejected; the text that the
-others go on with, without those lines, is the column `clean`, if one is named.
-
-Copies of a text count as one, so a document is not rejected for having been copied. Line counts are pre-aggregated
-in each task before they are dealt by (host, line), so a host with a third of all rows or a line on every page is
-spread and small. Defined results: null or empty texts have no words and fail the base rule; a null host is a host
-of its own; equal rows are judged alike; the result carries only the columns asked for and its own.
+rule hashes every line (lower case, without digits and white space; a line of nothing else does not count) and counts
+the distinct documents of its host that have it. A line of more than `max_docs` documents is above the limit; it is
+taken away wherever it stands but in the document of least doc_id that has it, so that nothing vanishes with all its
+copies. A document that loses over `depleted` of its words that way is rejected; the text that the others go on with
+is the column `clean`, if one is named.
+
+Lines are counted with partial sums in each task, so a host with a third of all rows or a line on every page is
+small before it is dealt; the lines above the limit, and the places where they stand, are written before they are
+joined, so that adaptive execution can split those joins. Without `clean` no text is shuffled.
+
+Defined results: null or empty texts have no words and fail the base rule; a null host is a host of its own; every
+row is a document, so repeated rows count each, and rows that share the least doc_id all keep their lines; a null
+doc_id is not the least unless all are null; texts of any length are one row and are never cut; columns of the input
+never clash with the operator's own, and the result carries only those asked for. Lines, texts and windows count as
+equal if their 64-bit hashes are.
 """
 
 from __future__ import annotations
@@ -19,40 +25,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import cut, lower_ascii
+from .support import kept_table
 
 WS = r"[\x20\x09-\x0D]+"
 WS_CHARS = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
-
-
-def without(c: Column, chars: str) -> Column:
-    return F.translate(c, chars, "")
+LEFT_OUT = r"[0-9\x20\x09\x0B-\x0D]+"  #: of lines, before they are hashed
+SYMBOLS = "[#*$%&|<>]"
+HOST = ["_host", "_nohost"]
 
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, WS), lambda w: w != "")
 
 
-def n_words_of(line: Column) -> Column:
-    """Words of a text or line, without building them."""
-    t = F.trim(F.regexp_replace(line, WS, " "))
-    return F.when(t == "", 0).otherwise(F.length(t) - F.length(without(t, " ")) + 1)
-
-
-def line_key(line: Column) -> Column:
-    return F.xxhash64(F.trim(F.regexp_replace(F.regexp_replace(lower_ascii(line), "[0-9]+", "0"), WS, " ")))
+def normal_lines(text: Column) -> Column:
+    """The text's lines as they are compared, in place."""
+    return F.split(F.lower(F.regexp_replace(text, LEFT_OUT, "")), "\n")
 
 
 def base_metrics(rows: DataFrame, text: str) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words to rows whose `text` is not null."""
     t = F.col(text)
-    filled = F.filter(F.split(t, "\n"), lambda x: without(x, WS_CHARS) != "")
+    filled = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(WS_CHARS)) != "")
     one = rows.withColumns({"_w": words_of(t), "_lines": filled})
     two = one.withColumns({
         "n_words": F.size("_w").cast("long"),
-        "word_chars": F.length(without(t, WS_CHARS)).cast("long"),
-        "n_symbols": (F.length(t) - F.length(without(t, SYMBOLS))).cast("long"),
+        "word_chars": F.length(F.array_join("_w", "")).cast("long"),
+        "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "_g": F.when(F.size("_w") < 3, F.expr("cast(array() as array<bigint>)")).otherwise(F.transform(F.slice("_w", 3, F.size("_w")), lambda w, i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), w))),
     }).drop("_lines", "_w")
@@ -67,34 +66,41 @@ def base_metrics(rows: DataFrame, text: str) -> DataFrame:
     return six.withColumns({c: F.when(F.col("_row") >= 0, F.col(c)) for c in ("n_words", "n_repeat_words")}).drop("_row")
 
 
-def quality_rules(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", host: str = "source", min_words: int = 50, min_docs: int = 20, share: float = 0.1, depleted: float = 0.5, clean: str | None = None) -> DataFrame:
+def frequent_lines(texts: DataFrame, max_docs: int) -> DataFrame:
+    """Host, hash and first document of the lines above the limit. texts: _host, _nohost, _id, _text."""
+    keys = F.array_distinct(F.transform(F.filter(normal_lines(F.col("_text")), lambda x: x != ""), lambda x: F.xxhash64(x)))
+    counts = texts.select(*HOST, "_id", F.explode(keys).alias("line")).groupBy(*HOST, "line").agg(F.count("*").alias("n"), F.min("_id").alias("first"))
+    return kept_table(counts.where(F.col("n") > max_docs).select(*HOST, "line", "first"))
+
+
+def places_of(texts: DataFrame, over: DataFrame) -> DataFrame:
+    """For each distinct text of a host that has such lines: `_cut`, their places, words and first documents."""
+    each = F.zip_with(normal_lines(F.col("_text")), F.split("_text", "\n"), lambda x, raw: F.struct(F.when(x != "", F.xxhash64(x)).alias("line"), F.size(words_of(raw)).alias("words")))
+    lines = texts.select(*HOST, "_key", F.posexplode(each).alias("place", "s")).select(*HOST, "_key", "place", "s.line", "s.words").where("line is not null")
+    found = lines.join(over, [*HOST, "line"]).groupBy(*HOST, "_key").agg(F.collect_set(F.struct("place", "words", "first")).alias("_cut"))
+    return kept_table(found)
+
+
+def quality_rules(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", host: str = "source", doc_id: str = "doc_id", min_words: int = 50, max_docs: int = 10, depleted: float = 0.3, clean: str | None = None) -> DataFrame:
     """`keep`, the base counts, base_failed, n_removed_words (of lines above the limit) and kept of every row; and
     if `clean` names a column, there the text without these lines (a null text's is empty)."""
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], body.alias("_text"), F.coalesce(F.col(host), F.lit("")).alias("_host"), F.col(host).isNull().alias("_nohost"), F.xxhash64(body, F.octet_length(body)).alias("_key"))
-
-    texts = rows.select("_host", "_nohost", "_key", "_text")
-    lines = F.filter(F.transform(F.split("_text", "\n"), lambda x: F.struct(line_key(x).alias("line"), n_words_of(x).alias("words"))), lambda s: s["words"] > 0)
-    found = texts.select("_host", "_nohost", "_key", F.explode(lines).alias("s")).select("_host", "_nohost", "_key", "s.line", "s.words")
-    per_text = cut(found.groupBy("_host", "_nohost", "line", "_key").agg(F.sum("words").alias("words")))  # three uses
-    counts = per_text.groupBy("_host", "_nohost", "line").agg(F.count("*").alias("n_docs"))
-    hosts = per_text.select("_host", "_nohost", "_key").distinct().groupBy("_host", "_nohost").agg(F.count("*").alias("host_docs"))
-    over = counts.where(F.col("n_docs") > min_docs).join(hosts, ["_host", "_nohost"]).where(F.col("n_docs") > share * F.col("host_docs")).select("_host", "_nohost", "line")
-    # a text that is there twice adds its words twice here, so per row they are divided by its number of rows
-    lost = per_text.join(over, ["_host", "_nohost", "line"], "left_semi").groupBy("_host", "_nohost", "_key").agg(F.sum("words").alias("_lost"), *([F.collect_set("line").alias("_cut")] if clean else []))
-    copies = texts.groupBy("_host", "_nohost", "_key").agg(F.count("*").alias("_copies"))
-    lost = lost.join(copies, ["_host", "_nohost", "_key"]).select("_host", "_nohost", "_key", F.expr("_lost div _copies").alias("_removed"), *(["_cut"] if clean else []))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(doc_id).alias("_id"), body.alias("_text"), F.coalesce(F.col(host), F.lit("")).alias("_host"), F.col(host).isNull().alias("_nohost"), F.xxhash64(body, F.octet_length(body)).alias("_key"))
+    texts = rows.select(*HOST, "_id", "_key", "_text")
+    places = places_of(texts, frequent_lines(texts, max_docs))
 
     judged = base_metrics(rows, "_text")
-    judged = (judged if clean else judged.drop("_text")).join(lost, ["_host", "_nohost", "_key"], "left")
+    judged = (judged if clean else judged.drop("_text")).join(places, [*HOST, "_key"], "left")
+    gone = F.filter("_cut", lambda s: ~s["first"].eqNullSafe(F.col("_id")))
+    removed = F.coalesce(F.aggregate(gone, F.lit(0).cast("long"), lambda n, s: n + s["words"]), F.lit(0))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    removed = F.coalesce("_removed", F.lit(0))
-    left = F.array_join(F.filter(F.split("_text", "\n"), lambda x: ~F.array_contains("_cut", line_key(x))), "\n")
+    at = F.transform(gone, lambda s: s["place"])
+    left = F.array_join(F.filter(F.split("_text", "\n"), lambda x, i: ~F.array_contains(at, i)), "\n")
     return judged.select(
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
-        removed.cast("long").alias("n_removed_words"),
+        removed.alias("n_removed_words"),
         (~failed & (removed <= depleted * F.col("n_words"))).alias("kept"),
         *([F.when(F.col("_cut").isNull(), F.col("_text")).otherwise(left).alias(clean)] if clean else []),
     )

@@ -34,8 +34,25 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.quality_rules(table(spark, sf_dir, "documents"), clean="clean")
-    return judged.withColumn("clean_sha256", F.sha2("clean", 256)).drop("clean")
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_quality_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+p AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+again AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS k FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM p) WHERE c > 1) GROUP BY r),
+l AS (SELECT r, doc_id, source, raw, regexp_replace(lower(raw), '[0-9\x20\x09\x0B-\x0D]+', '', 'g') AS x, len(list_filter(regexp_split_to_array(raw, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS words
+  FROM (SELECT r, doc_id, source, unnest(string_split(t, chr(10))) AS raw FROM d)),
+over_limit AS (SELECT source, x, min(doc_id) AS first FROM (SELECT DISTINCT r, doc_id, source, x FROM l WHERE x <> '') GROUP BY ALL HAVING count(*) > 10),
+lost AS (SELECT r, sum(words) AS n FROM l JOIN over_limit o ON o.source IS NOT DISTINCT FROM l.source AND o.x = l.x WHERE first IS DISTINCT FROM doc_id GROUP BY r),
+dup AS (SELECT r, count(*) - count(DISTINCT raw) AS n FROM l WHERE words > 0 GROUP BY r),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed_words
+  FROM d JOIN w USING (r) LEFT JOIN again USING (r) LEFT JOIN dup USING (r) LEFT JOIN lost USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_removed_words,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_removed_words <= 0.3 * n_words AS kept
+FROM m"""
 
 
 @query
