@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays over the training words.
 
-Each task reads its documents shard by shard, a shard being some millions of words. Of a shard it builds the suffix
+Each task reads its documents shard by shard, a shard being a million words or one text. Of a shard it builds the suffix
 array over word hashes, leaving out suffixes whose first words open no test suffix, since no search can end there.
 Every test suffix is then binary-searched; the suffixes found share a window with it, and each such place is extended
 to the longest verbatim match. The documents never leave their tasks: there is no shuffle.
@@ -10,7 +10,8 @@ The test set is searched in blocks of at most `block_bytes`, so what a task hold
 Words are runs of digits, letters a-z (after lower-casing A-Z) and bytes from 0x80 on; two words are equal if their
 64-bit hashes are. A window is `window` consecutive words of an item; an item of fewer words is one window. Defined
 results: null or empty texts, and items without words, match nothing; items with a null id are left out; items that
-share an id count once; repeated documents are judged alike; extra columns ride along untouched.
+share an id count once, and repeated items are merged before they are sent; a text of any length is one shard and is
+never cut; repeated documents are judged alike; extra columns ride along untouched.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .kernels import ALNUM, LOWER, chunks, grams, owner, row_ids, word_hashes
+from .kernels import ALNUM, LOWER, chunks, grams, row_ids, word_hashes
+from .support import cut
 
-SHARD_WORDS = 4 << 20
+SHARD_WORDS = 1 << 20
 MATCH = "array<struct<item_id:long,doc_start:int,item_start:int,length:int>>"
 
 
@@ -163,7 +165,7 @@ def _with_matches(batch: pa.RecordBatch, n_words: np.ndarray, found: tuple[np.nd
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
     """`doc` (all columns of docs, as a struct), n_words and `matches`, the longest verbatim matches in word positions."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(size) // block_bytes))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
@@ -188,6 +190,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, t
                     own = (found[0] >= low) & (found[0] < low + len(mine))
                     yield _with_matches(batch, mine, (found[0][own] - low, *(x[own] for x in found[1:])), schema)
                     low += len(mine)
+                held.clear()
 
             for piece in batches:
                 flat = pa.RecordBatch.from_arrays([piece.column(0), pa.compute.struct_field(piece.column(0), text)], names=["doc", "text"])
@@ -197,7 +200,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, t
                     size += len(words)
                     if size >= SHARD_WORDS:
                         yield from flush()
-                        held, size = [], 0
+                        size = 0
             if held:
                 yield from flush()
 
@@ -205,7 +208,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, t
         if blocks == 1:
             return found
         key = cut_rows(found)
-        done = key if done is None else _merged(done, key)
+        done = cut(key if done is None else _merged(done, key))
     return done.select("doc", "n_words", "matches")
 
 
