@@ -7,11 +7,15 @@ with three discounts for each order from its counts of counts. Each text is its
 token; before its first token stands a beginning that does not. A word that training has not seen has the uniform
 share, g / (V + 1).
 
-Counting: tasks sum the bigrams of blocks of text and deal them by the first word's hash as packed arrays; a shard
-sums them, writes its bigrams as two sorted arrays (hash, count), and deals how many distinct words stand before each
-second word by that word's hash; that shard writes the word arrays. A frequent word is one entry per block, whatever
-its count. Workers map the arrays into memory and look tokens up in order of hash, so that they read a file once per
-block of documents, and only the parts they need.
+Counting: tasks sum the bigrams of blocks of text and deal them as packed arrays. A first word has a thirty-second of
+the shards for its bigrams (one at least), which the pair's hash chooses from, so no word fills a shard however many
+there are. A shard sums them, writes its bigrams as two sorted arrays (hash, count), and deals the totals of first
+words, and how many distinct words stand before each second word, by the word's hash; that shard adds them up and
+writes the word arrays. A frequent word is one entry per block, whatever its count. Workers map the arrays into memory
+and look tokens up in order of hash, so that they read a file once per block of documents, and only the parts they
+need; they keep at most `OPEN_FILES` maps, or `OPEN_BYTES` where the folder can only be read.
+
+Texts of any length are one text; counts have 64 bits where 32 do not hold them.
 
 Words count as equal if their 64-bit hashes are.
 """
@@ -36,15 +40,22 @@ from .support import shared_dir, shards_for
 END, BEGIN = np.uint64(0xE4D0E4D0E4D0E4D0), np.uint64(0xBE61BE61BE61BE61)
 BLOCK_TOKENS = 1 << 20
 SLICE = 1 << 18
+OPEN_FILES, OPEN_BYTES = 2048, 256 << 20
 PAIRS = "shard int, first binary, sizes binary, second binary, counts binary"
 WORDS = "shard int, kind int, words binary, values binary, stats binary"
-DONE = "shard int, stats binary"
+DONE = "shard int, counted boolean, stats binary"
 
 
 def shard_of(h: np.ndarray, n: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
+def pair_shard(u: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """The shard of a bigram with first word u and hash h."""
+    spread = max(1, n // 32)
+    return (shard_of(u, n) + (h % np.uint64(spread)).astype(np.int64) * (n // spread)) % n
+
+
 def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(u * MULT + mix(w))
 
@@ -92,7 +103,10 @@ def sum_pairs(u: np.ndarray, w: np.ndarray, c: np.ndarray | None = None) -> tupl
 def deal_pairs(u: np.ndarray, w: np.ndarray, n: int) -> Iterator[tuple]:
     """Rows of PAIRS for a block's bigrams."""
     u, w, c = sum_pairs(u, w)
-    ends = np.searchsorted(shard_of(u, n), np.arange(n + 1))
+    shard = pair_shard(u, pair_hash(u, w), n)
+    order = np.argsort(shard, kind="stable")
+    u, w, c = u[order], w[order], c[order]
+    ends = np.searchsorted(shard[order], np.arange(n + 1))
     for s in range(n):
         a, b = ends[s], ends[s + 1]
         if a < b:
@@ -140,11 +154,14 @@ def _merge(n: int, folder: str, table: pa.Table) -> pa.Table:
     h = pair_hash(u, w)
     order = np.argsort(h)
     put(f"{folder}/pair-{shard}.keys", h[order])
-    put(f"{folder}/pair-{shard}.counts", np.minimum(c[order], 0xFFFFFFFF).astype(np.uint32))
+    put(f"{folder}/pair-{shard}.counts", c[order].astype(np.uint32 if c.max() < 1 << 32 else np.uint64))
     at = _starts(u)
     own = np.stack([np.add.reduceat(x.astype(np.int64), at) for x in (c, c == 1, c == 2, c > 2)], axis=1)
     stats = np.array([(c == k).sum() for k in (1, 2, 3, 4)] + [len(c)], np.int64)
-    rows = [(shard, 0, u[at].tobytes(), own.tobytes(), stats.tobytes())]
+    home = shard_of(u[at], n)
+    edge = np.searchsorted(home, np.arange(n + 1))  # u is in order, and so are its shards
+    rows = [(s, 0, u[at][a:b].tobytes(), own[a:b].tobytes(), None) for s, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if a < b and s != shard]
+    rows.append((shard, 0, u[at][edge[shard] : edge[shard + 1]].tobytes(), own[edge[shard] : edge[shard + 1]].tobytes(), stats.tobytes()))
     seen, before = np.unique(w, return_counts=True)
     ends = np.searchsorted(shard_of(seen, n), np.arange(n + 1))
     for s, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
@@ -155,13 +172,14 @@ def _merge(n: int, folder: str, table: pa.Table) -> pa.Table:
 
 def _words(folder: str, table: pa.Table) -> pa.Table:
     """Writes a shard's words: hash, then T, n1, n2, n3 as a history and the distinct words before it."""
-    keys, values, pairs = [], [], np.zeros(5, np.int64)
+    keys, values, pairs, counted = [], [], np.zeros(5, np.int64), False
     for kind, words, given, stats in zip(*(table[c].to_pylist() for c in ("kind", "words", "values", "stats")), strict=True):
         w = np.frombuffer(words, np.uint64)
         v = np.zeros((len(w), 5), np.int64)
         if kind == 0:
             v[:, :4] = np.frombuffer(given, np.int64).reshape(-1, 4)
-            pairs += np.frombuffer(stats, np.int64)
+            if stats is not None:
+                pairs, counted = np.frombuffer(stats, np.int64), True
         else:
             v[:, 4] = unpacked(given)
         keys.append(w)
@@ -169,14 +187,14 @@ def _words(folder: str, table: pa.Table) -> pa.Table:
     key, value = np.concatenate(keys), np.concatenate(values)
     order = np.argsort(key, kind="stable")
     key, at = key[order], _starts(key[order])
-    value = np.add.reduceat(value[order], at, axis=0)
+    value = np.add.reduceat(value[order], at, axis=0) if len(at) else value
     shard, a = int(table["shard"][0].as_py()), value[:, 4]
     put(f"{folder}/word-{shard}.keys", key[at])
     for k in range(5):
         put(f"{folder}/word-{shard}.{k}", value[:, k])
     is_begin = key[at] == BEGIN
     total = [int(value[~is_begin, 0].sum()), int(value[is_begin, 0].sum()), int((a > 0).sum()), int(a.sum())] + [int((a == k).sum()) for k in (1, 2, 3, 4)]
-    return table_of([(shard, np.array(total + pairs.tolist(), np.int64).tobytes())], DONE)
+    return table_of([(shard, counted, np.array(total + pairs.tolist(), np.int64).tobytes())], DONE)
 
 
 @dataclass
@@ -185,7 +203,7 @@ class Model:
 
     folder: str
     shards: int
-    have: set
+    have: dict  #: by kind of array the shards that there are
     n_tokens: int
     n_words: int
     n_before: int
@@ -196,9 +214,14 @@ class Model:
     opened: dict = field(default_factory=dict)
 
     def array(self, name: str, kind) -> np.ndarray:
-        if name not in self.opened:
-            self.opened[name] = get(f"{self.folder}/{name}", kind)
-        return self.opened[name]
+        """An array of a shard; those used last are let go when too many are held."""
+        found = self.opened.pop(name, None)
+        if found is None:
+            found = get(f"{self.folder}/{name}", np.uint8)
+            while self.opened and (len(self.opened) >= OPEN_FILES or sum(x.nbytes for x in self.opened.values() if not isinstance(x, np.memmap)) > OPEN_BYTES):
+                del self.opened[next(iter(self.opened))]
+        self.opened[name] = found
+        return found.view(kind)
 
     def __getstate__(self):
         return self.__dict__ | {"opened": {}}
@@ -209,7 +232,7 @@ class Model:
         order = np.lexsort((h, shard))
         edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(edges)).tolist():
-            if s not in self.have:
+            if s not in self.have[kind]:
                 continue
             mine = order[edges[s] : edges[s + 1]]
             keys = self.array(f"{kind}-{s}.keys", np.uint64)
@@ -219,6 +242,8 @@ class Model:
             hit = keys[at] == h[mine]
             mine, at = mine[hit], at[hit]
             for o, (name, type_) in zip(out, columns, strict=True):
+                if type_ is None:  # the narrower of two widths that holds a shard's counts
+                    type_ = np.uint32 if self.array(f"{kind}-{s}.{name}", np.uint8).nbytes == 4 * len(keys) else np.uint64
                 o[mine] = self.array(f"{kind}-{s}.{name}", type_)[at]
         return out
 
@@ -264,7 +289,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     d_word = discounts(stats[4:8])
     many = seen - stats[4] - stats[5]
     left = float(d_word[0] * stats[4] + d_word[1] * stats[5] + d_word[2] * many) / before if before else 1.0
-    return Model(folder, n, {r["shard"] for r in done}, words + ends, seen, before, discounts(stats[8:12]), d_word, left, ends)
+    return Model(folder, n, {"word": {r["shard"] for r in done}, "pair": {r["shard"] for r in done if r["counted"]}}, words + ends, seen, before, discounts(stats[8:12]), d_word, left, ends)
 
 
 # --- scoring -------------------------------------------------------------------------------------------------------
@@ -289,7 +314,7 @@ def token_scores(model: Model, t: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarr
     left = np.where(total > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / np.maximum(total, 1), 1.0)
     wt, wu = where[: len(t)], where[len(t) :]
     h = pair_hash(t[:0], t[:0]) if not len(t) else pair_hash(u, t)
-    (c,) = model.find("pair", shard_of(u, model.shards), h, [("counts", np.uint32)])
+    (c,) = model.find("pair", pair_shard(u, h, model.shards), h, [("counts", None)])
     p = np.maximum(c - discount(c, d), 0) / np.maximum(total[wu], 1) + left[wu] * p_word[wt]
     return np.log10(p), seen[wt]
 
