@@ -7,10 +7,11 @@ two units stay one, which is always right.
 
 A first pass cuts the texts into units by array operations and deals, per shard of the hash space, the distinct unit
 strings of a block of documents and its (document, unit, frequency) triples as packed arrays. Each shard counts every
-distinct unit once and returns a sum per document; the sums of all shards are added up. A unit that is everywhere
-costs one triple a document, packed beside its neighbours, so no key makes a large group.
+distinct unit once and returns a sum per document; the sums of all shards are added up. A unit that a sixteenth of a
+block's documents have goes to the block's own shard instead of its hash's, so a unit that is everywhere is counted
+once a shard and its triples are spread over all of them.
 
-Defined results: null and empty texts have 0 tokens; repeated rows are counted each; an empty table gives no rows;
+Defined results: null and empty texts have 0 tokens; a text of any length is counted whole; repeated rows are counted each; an empty table gives no rows;
 the result has its own columns only.
 """
 
@@ -75,20 +76,24 @@ def _deal(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     limits = np.array([(s << 64) // n for s in range(1, n)], np.uint64)
     press = zstandard.ZstdCompressor(level=1)
     for block, (batch, buf, off) in enumerate(chunks(batches, limit=BLOCK_BYTES), TaskContext.get().partitionId() << 32):
+        own = ((block >> 32) * 7919 + block % (1 << 32)) % n  # the block's own shard
         doc, h, freq, one, start, end = count_units(buf, off)
-        rows = np.concatenate([[0], np.searchsorted(h, limits), [len(h)]])
-        units = np.searchsorted(one, rows)
         counts = np.diff(np.append(one, len(h))).astype(np.int32)
+        home = np.where(counts * 16 > max(len(off) - 1, 32), own, np.searchsorted(limits, h[one], "right"))
+        order = np.argsort(home, kind="stable")
+        doc, freq = (x[np.argsort(np.repeat(home, counts), kind="stable")] for x in (doc, freq))
+        counts, start, end, units = counts[order], start[order], end[order], np.searchsorted(home[order], np.arange(n + 1))
+        rows = np.append(0, np.cumsum(counts))[units]
         ids = batch.column(0)
         meta = pickle.dumps((ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False), np.diff(off)))
         out: list[tuple] = []
         for s in range(n):
             a, b, ua, ub = rows[s], rows[s + 1], units[s], units[s + 1]
-            if a == b and s != block % n:
+            if a == b and s != own:
                 continue
             docs = doc[a:b].astype(np.uint16 if len(off) <= 65536 else np.int32)
             texts = b"".join([buf[x:y].tobytes() for x, y in zip(start[ua:ub].tolist(), end[ua:ub].tolist(), strict=True)])
-            out.append((s, block, meta if s == block % n else None, *map(packed, (docs, freq[a:b], counts[ua:ub], end[ua:ub] - start[ua:ub])), press.compress(texts)))
+            out.append((s, block, meta if s == own else None, *map(packed, (docs, freq[a:b], counts[ua:ub], end[ua:ub] - start[ua:ub])), press.compress(texts)))
         yield batch_of(out, DEALT)
 
 
