@@ -83,7 +83,7 @@ def block_keys(h: np.ndarray, ptr: np.ndarray, bands: Bands) -> tuple[np.ndarray
     size = np.diff(ptr)
     own = np.searchsorted(bands.low, size, "right") - 1
     keys, docs = [], []
-    for back in range(8):
+    for back in range(len(bands.low)):  # until no set is small enough
         band = own - back
         member = np.flatnonzero((band >= 0) & (size <= bands.high[np.maximum(band, 0)]))
         if not len(member):
