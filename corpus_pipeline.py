@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import decontaminate, packing, parity_join, quality_rules, repeats
+from tracewell.llm import decontaminate, packing, parity_join, quality_rules, repeats, token_counts
 from tracewell.llm.support import shared_dir
 
 
@@ -36,8 +36,11 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's place in the training sequences."""
-    return packing.pack(docs, packing.words_and_end())
+    """Every document's place in the training sequences, in tokens of the 50k vocabulary and their ends."""
+    import public_tokenizers
+
+    counts = token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(counts, packing.tokens_and_end())
 
 
 STAGES = [

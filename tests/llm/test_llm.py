@@ -502,6 +502,7 @@ def test_components(spark):
 
 def test_pipeline(spark, docs, rows, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
+    tokenizer = pytest.importorskip("tokenizers").Tokenizer.from_file(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
     plain.write.parquet(f"{tmp_path}/documents.parquet")
     long = next(t for _, t, *_ in rows if t and 90 < len(t.split()) < 200).split()
@@ -521,7 +522,7 @@ def test_pipeline(spark, docs, rows, tmp_path):
     for i, t in left:
         w = word.findall(t.translate(LOW))
         if not any(tuple(w[k : k + 10]) in window for k in range(len(w) - 9)):
-            clean.append((i, len(WORD.findall(t)) + 1))
+            clean.append((i, len(tokenizer.encode(t, add_special_tokens=False).ids) + 1))
     total = Counter()
     for r in have:
         total[r.doc_id] += r.length

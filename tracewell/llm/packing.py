@@ -5,7 +5,7 @@ none does, a bin is opened whose size is the cheapest per token it can still be
 for each sequence and an attention cost that grows with the square of its length. When all are placed, every bin is
 downsized to the least permitted length that holds its contents.
 
-Items are dealt to packing groups of about `group_rows` by a hash of the document, so any table is packed in
+Items are dealt to packing groups of about `group_rows` by a hash of the row's place in the table, so any table is packed in
 parallel and no group grows with it; a fuller bin than one group can make would have to cross groups, which costs
 less than one bin a group and size. A document longer than the largest size is split into pieces of that size and
 a rest; nothing is ever truncated.
@@ -34,6 +34,11 @@ def words_and_end(text: str = "text") -> Column:
     return (F.length(body) - F.length(F.replace(body, F.lit(" "), F.lit(""))) + F.when(body == "", 0).otherwise(1) + 1).cast("long")
 
 
+def tokens_and_end(n_tokens: str = "n_tokens") -> Column:
+    """A text's length in tokens, as `token_counts` gives it, plus its end-of-text token."""
+    return F.col(n_tokens) + 1
+
+
 def least_cost_size(length: int, waiting: int, sizes: Sequence[int], overhead: int, attention: int) -> int:
     """The permitted size that costs least per token, were it filled from what still waits; of equal ones the largest."""
     return min((s for s in sizes if s >= length), key=lambda s: ((s + overhead + s * s / attention) / min(s, length + waiting), -s))

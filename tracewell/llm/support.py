@@ -17,10 +17,12 @@ def lower_ascii(c):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; where no cluster names one, as in tests, a new temporary folder."""
+    """The folder that all executors share; only without a cluster, as in tests, a new temporary folder stands in."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tracewell-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
