@@ -457,6 +457,28 @@ def test_parity_join(docs, rows, empty, percent, n, tile):
         assert kept.columns == docs.columns and sorted(i for i in ids if i is not None) == sorted(want)
 
 
+def test_clusters_of_several_classes(spark):
+    """Groups of near copies that share their heaviest blocks, and loose sets under the same blocks, over many tiles."""
+    import random
+
+    r = random.Random(11)
+    vocab = [f"w{i}" for i in range(500)]
+    texts = []
+    for g in range(3):
+        shared = [r.choice(vocab) for _ in range(150)]
+        for k in range(25):
+            t = shared + [r.choice(vocab) for _ in range(10 + 9 * (k % 4) * (g > 0))]
+            for _ in range(k % 3):
+                t[r.randrange(len(t))] = f"x{k}"
+            texts.append(" ".join(t))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = components_by_hand(rows, 85, 4)
+    assert 3 < len({c for *_, c in want}) < 70
+    for tile in (1, 4):  # the second pass has 16 times as many sets a tile
+        assert key(map(tuple, parity_join.jaccard_components(docs, tile_sets=tile).collect())) == key(want)
+
+
 def test_bands_lose_no_pair():
     r = np.random.default_rng(5)
     bands = parity_join.Bands(85)

@@ -6,10 +6,14 @@ of both is equal: texts are joined on block fingerprints, per band of set sizes.
 are used (see `block_keys`), which loses no pair and spares the blocks of one or two shingles that many texts share.
 
 Equal sets are one node from the start, so copies are never paired with each other. Buckets give a star of candidate
-edges; its components, the candidate clusters, are closed under linking. The sets of a cluster meet in one task, or,
-beyond `tile_sets` members or `tile_shingles` shingles, in one task for each pair of tiles. There, Hamming distances of
-parity sketches rule pairs out, the others are compared exactly, and pairs that links already join are skipped. What
-leaves a task is a spanning forest, so no group's pairs are ever emitted.
+edges; its components, the candidate clusters, are closed under linking. Sets of a cluster are compared in tiles of
+`tile_sets` members or `tile_shingles` shingles: Hamming distances of parity sketches rule pairs out, the others are
+compared exactly, and pairs that links already join are skipped. What leaves a task is a spanning forest, so no group's
+pairs are ever emitted. A cluster of several tiles goes in two passes. In the first each set is in one tile, and some
+hubs are in all of them, so that the tiles of a group of near copies become one class. In the second only those sets
+are compared that stand in a star with other classes: of such a star the tiles of the largest class meet those of the
+others, and never each other. So a group of near copies costs what it holds, whatever its size; only many unlinked sets
+under one common block cost their pairs of tiles. Texts of any length are one row and are never cut.
 
 Shingles count as equal if their 64-bit hashes are. Defined results: a null or empty text has 0 shingles and is its
 own component; fewer words than a shingle has make one shingle; repeated rows are linked like copies; a null doc_id is linked
@@ -195,13 +199,13 @@ def _some_sets(bits: bytes, n_words: int, batches: Iterator[pa.RecordBatch]) ->
             yield batch_of([(int(s), int(d), h[a:b].tobytes()) for s, d, a, b in zip(signed(set_ids(h, ptr)), row_ids(piece, "doc"), ptr[:-1], ptr[1:], strict=True)], SETS)
 
 
-def links(sets: list[np.ndarray], tile: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that reach `percent`, over all pairs (of different tiles, if there are two).
+def links(sets: list[np.ndarray], tile: np.ndarray, percent: int, label: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that reach `percent`, over the pairs of different labels (and tiles, if there are two).
 
     The Hamming distance of two parity sketches is at most the sets' symmetric difference; only pairs that it does not
     rule out, and that no chain of links joins yet, are compared exactly.
     """
-    m = len(sets)
+    m, label = len(sets), label.copy()
     size = np.array([len(s) for s in sets], np.int64)
     bits = 1 << max(10, int(4 * size.max() - 1).bit_length())
     bits = min(bits, 1 << 16)
@@ -209,7 +213,6 @@ def links(sets: list[np.ndarray], tile: np.ndarray, percent: int) -> list[tuple[
     for i, s in enumerate(sets):
         x = mix(s + MULT) & np.uint64(bits - 1)
         np.bitwise_xor.at(sketch[i], (x >> np.uint64(6)).astype(np.int64), np.uint64(1) << (x & np.uint64(63)))
-    label = np.arange(m)
     two = tile.min() != tile.max()
     forest = []
     for i in range(m - 1):
@@ -236,25 +239,13 @@ def _verify(percent: int, table: pa.Table) -> pa.Table:
     ids = table["sid"].to_numpy()
     one = np.unique(ids, return_index=True)[1]
     sets = [np.frombuffer(x, np.uint64) for x in table["hashes"].take(one).to_pylist()]
-    found = links(sets, table["tile"].to_numpy()[one], percent)
+    classes = np.unique(table["class"].to_numpy()[one], return_inverse=True)[1]
+    found = links(sets, table["tile"].to_numpy()[one], percent, classes)
     return table_of([(int(ids[one[i]]), int(ids[one[j]])) for i, j in found], "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, percent: int = 85, n_words: int = 4, doc_id: str = "doc_id", text: str = "text", tile_sets: int = 2048, tile_shingles: int = 4 << 20, filter_bits: int = 1 << 24) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    n = shards_for(docs, text, 256 << 20)
-    signs = rows.mapInArrow(partial(_sign, n, percent, n_words), KEYS)
-    found = cut(signs.groupBy("shard").applyInArrow(lambda t: _look_up(t), FOUND))
-    members = found.where("kind = 1").select(F.col("x").alias("doc_id"), F.col("y").alias("sid"), F.col("n").alias("n_shingles"))
-    sets = members.where("n_shingles > 0").groupBy("sid").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc"), F.first("n_shingles").alias("n_shingles"))
-
-    clusters = components(found.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "sid")
-    wanted = cut(clusters.join(sets, "sid"))
-    large = wanted.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / tile_sets), F.ceil(F.sum("n_shingles") / tile_shingles)).cast("int").alias("tiles"))
-    tiled = wanted.join(large, "label").withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-
+def linked_sets(rows: DataFrame, tiled: DataFrame, percent: int, n_words: int, filter_bits: int) -> DataFrame:
+    """Edges a, b between the sets that reach `percent` inside each (label, t1, t2). rows: doc_id, text; tiled: label, t1, t2, tile, sid, doc, class."""
     # a bit table of the documents whose sets are needed: its size is fixed, and a false hit only costs time
     bits = np.zeros(filter_bits // 8, np.uint8)
 
@@ -262,17 +253,65 @@ def jaccard_components(docs: DataFrame, percent: int = 85, n_words: int = 4, doc
     def slots(x: pd.Series) -> pd.Series:
         return pd.Series((mix(x.to_numpy(np.int64).view(np.uint64)) & np.uint64(filter_bits - 1)).astype(np.int64))
 
-    marks = wanted.select(slots("doc").alias("s")).groupBy((F.col("s") / 32).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("m"))
+    marks = tiled.select("doc").distinct().select(slots("doc").alias("s")).groupBy((F.col("s") / 32).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("m"))
     for w, m in marks.toLocalIterator():
         bits[w * 4 : w * 4 + 4] = np.frombuffer(int(m).to_bytes(4, "little"), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+    shared = rows.sparkSession.sparkContext.broadcast(bits.tobytes())
     keyed = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
     bodies = keyed.mapInArrow(lambda it: _some_sets(shared.value, n_words, it), SETS)
-    groups = bodies.join(tiled.select("sid", "doc", "label", "tile", "other"), ["sid", "doc"]).select("label", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "sid", "tile", "hashes")
-    linked = groups.groupBy("label", "t1", "t2").applyInArrow(lambda t: _verify(percent, t), "a long, b long")
-    joined = components(linked).withColumnRenamed("node", "sid")
+    groups = bodies.join(tiled, ["sid", "doc"]).select("label", "t1", "t2", "sid", "tile", "class", "hashes")
+    return groups.groupBy("label", "t1", "t2").applyInArrow(lambda t: _verify(percent, t), "a long, b long")
+
+
+def first_tiles(wanted: DataFrame, tile_sets: int, tile_shingles: int, hubs: int = 4) -> DataFrame:
+    """Adds tiles, and rows for each (label, t1, t2) a set is in: its own tile, and all of them for about `hubs` sets of a cluster."""
+    large = wanted.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / tile_sets), F.ceil(F.sum("n_shingles") / tile_shingles)).cast("int").alias("tiles"), F.count("*").alias("_n"))
+    at = wanted.join(cut(large), "label").withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
+    hub = (F.col("tiles") > 1) & (F.pmod(F.xxhash64("sid", F.lit(1)), F.col("_n")) < hubs)
+    where = F.when(hub, F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("tile"))
+    # a hub counts as of the tile it visits, so that one tile never looks like two
+    return at.withColumn("t1", F.explode(where)).select("label", "t1", F.col("t1").alias("t2"), F.col("t1").alias("tile"), "sid", "doc", F.col("sid").alias("class"), "n_shingles", "tiles")
+
+
+def second_tiles(left: DataFrame, tile_sets: int, tile_shingles: int) -> DataFrame:
+    """Rows for each pair of tiles that may hold links between classes. left: label (of a star), sid, doc, class, n_shingles, of stars with several classes."""
+    per = cut(left.groupBy("label", "class").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")))
+    tiles = lambda n, s: F.greatest(F.ceil(n / tile_sets), F.ceil(s / tile_shingles)).cast("int")
+    main = per.groupBy("label").agg(F.max_by(F.struct("class", "n", "s"), F.struct("n", "class")).alias("m"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    main = cut(main.select("label", F.col("m.class").alias("main"), tiles(F.col("m.n"), F.col("m.s")).alias("r"), tiles(F.col("n") - F.col("m.n"), F.col("s") - F.col("m.s")).alias("v"), (tiles(F.col("n"), F.col("s")) <= 1).alias("one")))
+    at = left.join(main, "label").withColumn("h", F.xxhash64("sid"))
+    stays = F.col("class") == F.col("main")
+    tile = F.when(F.col("one"), 0).when(stays, F.pmod("h", F.col("r"))).otherwise(F.col("r") + F.pmod("h", F.col("v"))).cast("int")
+    other = F.when(F.col("one"), F.array(F.lit(0))).when(stays, F.sequence(F.col("r"), F.col("r") + F.col("v") - 1)).otherwise(F.sequence(F.lit(0), F.col("r") + F.col("v") - 1))
+    each = at.withColumn("tile", tile).withColumn("other", F.explode(other))
+    return each.select("label", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "sid", "doc", "class")
+
+
+def jaccard_components(docs: DataFrame, percent: int = 85, n_words: int = 4, doc_id: str = "doc_id", text: str = "text", tile_sets: int = 256, tile_shingles: int = 1 << 20, filter_bits: int = 1 << 24) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    n = shards_for(docs, text, 256 << 20)
+    signs = rows.mapInArrow(partial(_sign, n, percent, n_words), KEYS)
+    found = cut(signs.groupBy("shard").applyInArrow(lambda t: _look_up(t), FOUND))
+    members = found.where("kind = 1").select(F.col("x").alias("doc_id"), F.col("y").alias("sid"), F.col("n").alias("n_shingles"))
+    sets = members.where("n_shingles > 0").groupBy("sid").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc"), F.first("n_shingles").alias("n_shingles"))
 
-    named = sets.join(joined, "sid", "left").select("sid", "doc", F.coalesce("label", "sid").alias("label"))
+    clusters = components(found.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "sid")
+    wanted = cut(clusters.join(sets, "sid"))
+    tiled = cut(first_tiles(wanted, tile_sets, tile_shingles))
+    linked = cut(linked_sets(rows, tiled.drop("n_shingles", "tiles"), percent, n_words, filter_bits))
+    joined = cut(components(linked).withColumnRenamed("node", "sid").withColumnRenamed("label", "class"))
+
+    several = tiled.where("tiles > 1").select("sid", "doc", "n_shingles").distinct().join(joined, "sid", "left").withColumn("class", F.coalesce("class", "sid"))
+    star = found.where("kind = 0").select(F.col("x").alias("label"), F.col("y").alias("sid"))
+    star = star.unionAll(star.select("label", F.col("label").alias("sid"))).distinct().join(cut(several), "sid")
+    mixed = star.groupBy("label").agg((F.min("class") != F.max("class")).alias("m")).where("m").select("label")
+    left = cut(star.join(cut(mixed), "label", "left_semi"))
+    if left.limit(1).count():
+        more = linked_sets(rows, cut(second_tiles(left, 16 * tile_sets, 4 * tile_shingles)), percent, n_words, filter_bits)
+        joined = components(linked.unionAll(more)).withColumnRenamed("node", "sid").withColumnRenamed("label", "class")
+
+    named = sets.join(joined, "sid", "left").select("sid", "doc", F.coalesce("class", "sid").alias("label"))
     least = named.groupBy("label").agg(F.min(F.when(F.col("doc") != NO_ID, F.col("doc"))).alias("component_id"))
     names = cut(named.join(least, "label").select("sid", "component_id"))
     full = members.where("n_shingles > 0").join(names, "sid").select("doc_id", "n_shingles", "component_id")
