@@ -90,6 +90,8 @@ def quality_rules(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str
     places = places_of(texts, frequent_lines(texts, max_docs))
 
     judged = base_metrics(rows, "_text")
+    if clean:  # texts are dealt at any size, so that a run does not change its way where a broadcast would end
+        places = places.hint("merge")
     judged = (judged if clean else judged.drop("_text")).join(places, [*HOST, "_key"], "left")
     gone = F.filter("_cut", lambda s: ~s["first"].eqNullSafe(F.col("_id")))
     removed = F.coalesce(F.aggregate(gone, F.lit(0).cast("long"), lambda n, s: n + s["words"]), F.lit(0))
