@@ -66,6 +66,11 @@ def query_position(i: Column, k: int, strand: Column, forward: Column) -> Column
     return F.when(reads_forward(strand, forward), i).otherwise(k - 1 - i)
 
 
+def site_range(site: Column, k: int) -> Column:
+    """The positions whose k-mers lie over a site."""
+    return F.sequence(site - (k - 1), site)
+
+
 def ambiguous_positions(kmer: Column, k: int) -> Column:
     return F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: at(kmer, i, 1) == AMBIGUOUS)
 

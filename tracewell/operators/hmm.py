@@ -19,8 +19,13 @@ from pyspark.sql import functions as F
 MATCH, SKIP, EXTRA = 0, 1, 2
 SKIP_EMISSION = math.log(0.1)
 EXTRA_WIDTH = 1.75  #: of the level's standard deviation for extra events
-#: from state (row) to state (column), as probabilities
-TRANSITIONS = np.array([[0.79, 0.09, 0.12], [0.86, 0.14, 0.0], [0.66, 0.0, 0.34]])
+# Default probabilities from state (row) to state (column); an extra event after a skip, or a skip after an extra, is ruled out.
+TRANSITIONS = np.array([
+    [0.79015888282447311, 0.19652425498269727, 0.013316862192829682],
+    [0.80347574501730273, 0.19652425498269727, 0.0],
+    [0.98668313780708949, 0.0, 0.013316862192910478],
+])
+MAX_KMERS = 46_656  #: of the largest model, which bounds what is broadcast
 READ = "read_id long, kmers array<array<string>>, levels array<array<double>>, sds array<array<double>>, events array<double>, anchors array<struct<x:int,y:int>>"
 
 
@@ -189,7 +194,9 @@ def expectations(reads: DataFrame, transitions: np.ndarray, width: int | None =
 
 def with_levels(reads: DataFrame, model: DataFrame) -> DataFrame:
     """Adds levels and sds to reads with kmers, events and anchors; the model has a row for each k-mer of a small alphabet."""
-    table = {r["kmer"]: (r["level_mean"], r["level_sd"]) for r in model.select("kmer", "level_mean", "level_sd").limit(46_656).collect()}
+    table = {r["kmer"]: (r["level_mean"], r["level_sd"]) for r in model.select("kmer", "level_mean", "level_sd").limit(MAX_KMERS + 1).collect()}
+    if len(table) > MAX_KMERS:
+        raise ValueError(f"more than {MAX_KMERS} k-mers")
     shared = reads.sparkSession.sparkContext.broadcast(table)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MAX_POINTS = 10_000  #: of a grid that is broadcast
+
+
 def histogram(rows: DataFrame, key: str, x: str, width: float, bins: int) -> DataFrame:
-    """key, grid_ix, x (bin middle), pdf: the share per unit in each of `bins` bins from 0; empty bins have 0."""
-    ix = F.least(F.floor(F.col(x) / width), F.lit(bins - 1)).cast("long")
-    counts = rows.groupBy(key, ix.alias("grid_ix")).agg(F.count("*").alias("_n"))
+    """key, grid_ix, x (bin middle), pdf: the share per unit in each of `bins` bins from 0; empty bins have 0, and values outside all bins count nowhere."""
+    ix = F.floor(F.col(x) / width).cast("long")
+    counts = rows.where((F.col(x) >= 0) & (F.col(x) < width * bins)).groupBy(key, ix.alias("grid_ix")).agg(F.count("*").alias("_n"))
     total = counts.groupBy(key).agg(F.sum("_n").alias("_t"))
     grid = total.select(key, "_t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("grid_ix"))
     filled = grid.join(counts, [key, "grid_ix"], "left")
@@ -56,7 +59,9 @@ def moments(density: DataFrame, key: str) -> DataFrame:
 def kernel_density(rows: DataFrame, key: str, x: str, grid: DataFrame, width: float) -> DataFrame:
     """Gaussian kernel estimate at the points of a small grid (grid_ix, x); values are binned to 0.1 first."""
     binned = rows.groupBy(key, F.round(F.col(x), 1).alias("_v")).agg(F.count("*").alias("_n"))
-    points = F.broadcast(grid.limit(10_000))  # the grid is a parameter of the call, not data
+    if grid.limit(MAX_POINTS + 1).count() > MAX_POINTS:  # the grid is a parameter of the call, not data
+        raise ValueError(f"more than {MAX_POINTS} grid points")
+    points = F.broadcast(grid)
     z = (F.col("x") - F.col("_v")) / width
     at = binned.crossJoin(points).groupBy(key, "grid_ix", "x").agg(F.sum(F.col("_n") * F.exp(-0.5 * z * z)).alias("_s"), F.sum("_n").alias("_t"))
     return at.select(key, "grid_ix", "x", (F.col("_s") / (F.col("_t") * width * 2.5066282746310002)).alias("pdf"))

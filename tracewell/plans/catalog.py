@@ -13,6 +13,7 @@ from ..functions import sequences as sq
 from ..functions import splines
 from ..operators import anchors, calls, metrics, priors, scaling, windows
 from .projection import MODEL, SEQUENCES, SERIES, K, kmer_model, sequences, series, with_sql
+from . import coordinates  # noqa: F401  registers its queries
 from .projection import anchors as anchor_pairs
 from .registry import query, table
 
@@ -450,7 +451,7 @@ def stay_durations(spark, sf_dir):
     return series(spark, sf_dir).select("event_id", r(em.log_poisson(F.col("event_index") % 8, 1.5)).alias("logp"))
 
 
-_H = S + """, c AS (SELECT base, CAST(least(floor(mean / 10.0), 49) AS BIGINT) AS grid_ix, count(*) AS n FROM series GROUP BY ALL),
+_H = S + """, c AS (SELECT base, CAST(least(floor(mean / 10.0), 49) AS BIGINT) AS grid_ix, count(*) AS n FROM series WHERE mean >= 0 AND mean < 500 GROUP BY ALL),
 t AS (SELECT base, sum(n) AS t FROM c GROUP BY base), density AS (SELECT t.base, CAST(i AS BIGINT) AS grid_ix, (i + 0.5) * 10 AS x, coalesce(n, 0) / (t * 10.0) AS pdf FROM t CROSS JOIN range(50) g(i) LEFT JOIN c ON c.base = t.base AND c.grid_ix = i)"""
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequences import reads_forward
+
 # Columns of the headerless tables, in file order.
 FULL = "contig STRING, ref_pos BIGINT, ref_kmer STRING, read STRING, strand STRING, event_ix BIGINT, ev_mean DOUBLE, ev_noise DOUBLE, ev_duration DOUBLE, target_kmer STRING, scaled_mean DOUBLE, scaled_noise DOUBLE, posterior DOUBLE, descaled_mean DOUBLE, model_mean DOUBLE, path_kmer STRING"
 VARIANT = "event_ix BIGINT, ref_pos BIGINT, base STRING, posterior DOUBLE, strand STRING, direction STRING, read STRING"
@@ -121,10 +123,16 @@ def write_table(rows: DataFrame, path: str, schema: str, mode: str = "append") -
 
 
 def variant_rows(full: DataFrame) -> DataFrame:
-    """One row for each ambiguous place of a target k-mer: the base that the path puts there, and its reference position."""
-    at = F.filter(F.sequence(F.lit(0), F.length("target_kmer") - 1), lambda i: F.substring("target_kmer", i + 1, F.lit(1)) == "X")
-    each = full.where(F.contains("target_kmer", F.lit("X"))).withColumn("_i", F.explode(at))
-    return each.select("event_ix", (F.col("ref_pos") + F.col("_i")).alias("ref_pos"), F.substring("path_kmer", F.col("_i") + 1, F.lit(1)).alias("base"), "posterior", "strand", F.lit("forward").alias("direction"), "read")
+    """One row for each ambiguous place of the strand's reference k-mer: the base that the path puts there, and its position.
+
+    A path runs with its read, so against the reference its places count from the other end. Without a column `forward`
+    all reads are forward ones.
+    """
+    forward = F.col("forward") if "forward" in full.columns else F.lit(True)
+    at = F.filter(F.sequence(F.lit(0), F.length("ref_kmer") - 1), lambda i: F.substring("ref_kmer", i + 1, F.lit(1)) == "X")
+    each = full.where(F.contains("ref_kmer", F.lit("X"))).withColumn("_i", F.explode(at))
+    place = F.when(reads_forward(F.col("strand"), forward), F.col("_i")).otherwise(F.length("ref_kmer") - 1 - F.col("_i"))
+    return each.select("event_ix", (F.col("ref_pos") + F.col("_i")).alias("ref_pos"), F.substring("path_kmer", place + 1, F.lit(1)).alias("base"), "posterior", "strand", F.when(forward, "forward").otherwise("backward").alias("direction"), "read")
 
 
 def build_rows(assignments: DataFrame) -> DataFrame:
