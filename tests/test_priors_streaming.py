@@ -79,6 +79,24 @@ def test_assemble_and_column_pairs(spark):
     assert {(r["a"], r["b"], r["pairs"]) for r in calls.column_pairs(c, "ref_pos").collect()} == {("A", "A", 1), ("A", "C", 2), ("C", "C", 3)}
 
 
+@pytest.mark.parametrize(("n", "a"), [(1, 2.0), (7, 0.3), (400, 3.0), (50, 40.0)])
+def test_tables_are_distributed_as_drawn_one_by_one(n, a):
+    rng = np.random.default_rng(5)
+    p = a / (a + np.arange(n))
+    got = np.array([hdp.tables_of(rng, n, a) for _ in range(4000)])
+    assert got.min() >= 1 and got.max() <= n
+    assert abs(got.mean() - p.sum()) < 5 * np.sqrt((p * (1 - p)).sum() / 4000) + 1e-9
+    assert abs(got.var() - (p * (1 - p)).sum()) < 0.15 * (p * (1 - p)).sum() + 1e-9
+
+
+def test_tables_of_very_many_measurements():
+    rng = np.random.default_rng(6)
+    got = np.array([hdp.tables_of(rng, 10**12, 2.0) for _ in range(500)])
+    mean = 2.0 * (np.log(1e12) - 0.42278433509846714)  # digamma(2)
+    assert abs(got.mean() - mean) < 5 * np.sqrt(mean / 500)
+    assert hdp.tables_of(rng, 10**6, 0.0) == 1
+
+
 def test_mixture_with_drawn_concentrations(spark):
     rows = spark.range(400).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("group"), "id", (F.col("id") % 2 * 50 + F.col("id") % 5).cast("double").alias("x"))
     _, kept = hdp.sample(rows, components=4, iterations=6, burn_in=3, thin=2, concentrations=(1.0, 1.0))

@@ -34,6 +34,28 @@ def _assign(rows: DataFrame, weights: dict, mu: np.ndarray, sd: np.ndarray, salt
     return at.select("group", "x", walk.alias("z"))
 
 
+def tables_of(rng: np.random.Generator, n: int, a: float) -> int:
+    """A draw of the number of tables that n measurements take, where the i-th opens one with probability a / (a + i).
+
+    From one opening the next is found by inverting the probability that none comes before, so the work grows with the
+    number of tables, which is about a * log(n / a), and not with n.
+    """
+
+    def none_until(i: float) -> float:  # log of i! / gamma(i + 1 + a), by its expansion where lgamma would cancel
+        return -a * math.log(i + (a + 1) / 2) if i > 1e6 else math.lgamma(i + 1) - math.lgamma(i + 1 + a)
+
+    drawn, at = 0, 0
+    while at < n:
+        drawn += 1
+        limit = none_until(at) + math.log(1 - rng.random())
+        low, high = at, n  # none has come until low; n stands for never
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if none_until(mid) >= limit else (low, mid)
+        at = high
+    return drawn
+
+
 def sample(rows: DataFrame, components: int = 12, iterations: int = 30, burn_in: int = 10, thin: int = 5, seed: int = 1, gamma: float = 2.0, alpha: float = 4.0, concentrations: tuple[float, float] | None = None) -> tuple[dict, list]:
     """Weights by group and components of each kept sample. rows: group, id (unique), x.
 
@@ -70,7 +92,7 @@ def sample(rows: DataFrame, components: int = 12, iterations: int = 30, burn_in:
         base = rng.dirichlet(np.full(components, gamma / components) + 1e-3) if not step else base
         for c in by.values():
             for k in np.flatnonzero(c):
-                tables[k] += (rng.random(int(c[k])) < alpha * base[k] / (alpha * base[k] + np.arange(int(c[k])))).sum()
+                tables[k] += tables_of(rng, int(c[k]), alpha * base[k])
         base = rng.dirichlet(gamma / components + tables)
         if concentrations is not None:
             gamma = concentration(rng, gamma, np.array([tables.sum()]), np.count_nonzero(tables), *concentrations)
