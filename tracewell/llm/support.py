@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,16 +31,30 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run within it are removed as each one ends, since their rows are read from what they wrote."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows read from the shared folder: computed once, and safe from lost executors."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with freed_shuffles(df.sparkSession):
+        return df.select("*").checkpoint()  # planned anew, under that setting
 
 
 def kept_table(df: DataFrame) -> DataFrame:
     """Like `cut`, as a Parquet table in the shared folder: smaller than a checkpoint where columns repeat values."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with freed_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
