@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hilbert, kneser_ney, packing, parity_join, quality_lm, quality_rules, repeats, token_counts, url_filter
+from . import decontaminate, hilbert, kneser_ney, language_id, lloyd, packing, parity_join, quality_lm, quality_rules, ranked_search, repeats, token_counts, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -118,3 +118,59 @@ def op1_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     trusted = labels.where("quality = 1 and toxic = 0").select("doc_id")
     return quality_lm.quality_by_perplexity(table(spark, sf_dir, "documents"), trusted)
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+ORACLES["op11_ranked_search"] = r"""
+WITH lower_docs AS (SELECT row_number() OVER () AS r, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+words AS (SELECT r, doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM lower_docs),
+tf AS (SELECT r, doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+n AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY r),
+total AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS l FROM n),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM df, total),
+items AS (SELECT DISTINCT item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark),
+q AS (SELECT item_id, t, term, count(*) AS repeats FROM (SELECT item_id, t, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM items) GROUP BY ALL),
+scores AS (
+  SELECT item_id, t, r, doc_id, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // l)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) JOIN n USING (r), total GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id, t ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 10"""
+
+
+@query
+def op12_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster(table(spark, sf_dir, "embeddings"), k=8, size=64, rounds=10, seed=3)
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """Each round as its own part of the query; floor of a quotient of integers is written out, as // cuts towards 0."""
+    nearest = lambda i: f"d{i} AS MATERIALIZED (SELECT p.vec_id, c.cluster, CAST(sum((p.v - c.v) * (p.v - c.v)) AS BIGINT) AS distance FROM p JOIN c{i} c ON p.i = c.i GROUP BY ALL), a{i} AS MATERIALIZED (SELECT vec_id, cluster, distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) AS o FROM d{i}) WHERE o = 1)"
+    moved = lambda i: f"c{i + 1} AS MATERIALIZED (SELECT c.cluster, c.i, CAST(coalesce((s - ((s % n) + n) % n) // n, c.v) AS BIGINT) AS v FROM c{i} c LEFT JOIN (SELECT a.cluster, p.i, CAST(sum(p.v) AS BIGINT) AS s, count(*) AS n FROM a{i} a JOIN p USING (vec_id) GROUP BY ALL) m ON m.cluster = c.cluster AND m.i = c.i)"
+    parts = [x for i in range(rounds) for x in (nearest(i), moved(i))] + [nearest(rounds)]
+    return f"""
+WITH whole AS (SELECT vec_id, embedding AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+p AS MATERIALIZED (SELECT vec_id, i, CAST(floor(1024 * CAST(e[i] AS DOUBLE)) AS BIGINT) AS v FROM (SELECT vec_id, e, unnest(range(1, 65)) AS i FROM whole)),
+starts AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR))) - 1 AS cluster FROM whole),
+c0 AS MATERIALIZED (SELECT cluster, i, v FROM starts JOIN p USING (vec_id) WHERE cluster < 8),
+{(',' + chr(10)).join(parts)},
+names AS (SELECT cluster, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster),
+sums AS (SELECT cluster, CAST(sum(distance) AS BIGINT) AS cluster_inertia FROM a{rounds} GROUP BY cluster)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, cluster_inertia, (SELECT CAST(sum(distance) AS BIGINT) FROM a{rounds}) AS inertia, centroid_sha256
+FROM a{rounds} JOIN names USING (cluster) JOIN sums USING (cluster)"""
+
+
+ORACLES["op12_lloyd"] = _lloyd_sql(10)
+
+
+@query
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = kneser_ney.id_remainder(F.col("doc_id"), 5) == 0
+    net = language_id.train(docs.where(~held_out))
+    return language_id.predict(docs.select("doc_id", "text", held_out.alias("held_out")), net, keep=["doc_id", "held_out"])
