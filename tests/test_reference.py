@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import emissions as em
 from tracewell.functions import sequences as sq
-from tracewell.operators import anchors, calls, hdp, hmm, metrics, scaling, windows
+from tracewell.operators import anchors, calls, hdp, metrics, scaling, windows
 from tracewell.plans import catalog, registry  # noqa: F401
 from tracewell.sources import formats
 
@@ -125,71 +125,6 @@ def test_distances_are_metrics(spark):
     assert mean["0"] == pytest.approx(30, abs=1)
 
 
-def dense_lattice(levels, sds, events, trans):
-    """Plain recursion over all cells, for comparison."""
-    nx, ny = len(levels), len(events)
-    f = np.full((nx + 1, ny + 1, 3), -np.inf)
-    f[0, 0] = math.log(1 / 3)
-    with np.errstate(divide="ignore"):
-        t = np.log(trans)
-    for x in range(nx + 1):
-        for y in range(ny + 1):
-            if x and y:
-                f[x, y, 0] = np.logaddexp.reduce(f[x - 1, y - 1] + t[:, 0]) + hmm.gaussian(events[y - 1], levels[x - 1], sds[x - 1])
-                f[x, y, 2] = np.logaddexp.reduce(f[x, y - 1] + t[:, 2]) + hmm.gaussian(events[y - 1], levels[x - 1], sds[x - 1] * hmm.EXTRA_WIDTH)
-            if x:
-                f[x, y, 1] = np.logaddexp.reduce(f[x - 1, y] + t[:, 1]) + hmm.SKIP_EMISSION
-    return np.logaddexp.reduce(f[nx, ny]) + math.log(1 / 3)
-
-
-def make_lattice(rng, nx=9, ny=12, width=None):
-    levels = rng.uniform(40, 90, (nx, 1))
-    events = np.interp(np.linspace(0, nx - 1, ny), np.arange(nx), levels[:, 0]) + rng.normal(0, 1, ny)
-    return levels, events, hmm.Lattice(levels, np.full((nx, 1), 2.0), np.full((nx, 1, 1), 0.0), events, hmm.TRANSITIONS, hmm.band(nx, ny, [], width))
-
-
-def test_forward_equals_backward_and_plain_recursion():
-    rng = np.random.default_rng(4)
-    for _ in range(5):
-        levels, events, z = make_lattice(rng)
-        back = np.logaddexp.reduce((z.backward[0][0] + math.log(1 / 3)).ravel())
-        assert z.total == pytest.approx(back, abs=1e-9)
-        assert z.total == pytest.approx(dense_lattice(levels[:, 0], np.full(len(levels), 2.0), events, hmm.TRANSITIONS), abs=1e-9)
-        total = np.zeros(len(events))
-        for _, y, _, p in z.matches(0.0):
-            total[y] += p
-        assert (total <= 1 + 1e-6).all()
-        wide = make_lattice(np.random.default_rng(9), 30, 40, 30)[2], make_lattice(np.random.default_rng(9), 30, 40)[2]
-        assert wide[0].total == pytest.approx(wide[1].total, abs=1e-3)
-
-
-def test_ambiguous_paths_find_the_true_base(spark):
-    level = {a + b: float(10 * i + 40) for i, (a, b) in enumerate((a, b) for a in "ACE" for b in "ACE")}
-    truth = "AECAAECA"
-    kmers = [truth[i : i + 2] for i in range(len(truth) - 1)]
-    options = [sorted({x + y for x in ("CE" if k[0] in "CE" else k[0]) for y in ("CE" if k[1] in "CE" else k[1])}) for k in kmers]
-    reads = spark.createDataFrame([(1, options, [level[k] for k in kmers], None), (2, [], [1.0], None)], "read_id long, kmers array<array<string>>, events array<double>, anchors array<struct<x:int,y:int>>")
-    model = spark.createDataFrame([(k, v, 2.0) for k, v in level.items()], "kmer string, level_mean double, level_sd double")
-    out = hmm.posteriors(hmm.with_levels(reads, model), threshold=0.5).collect()
-    assert [r.kmer for r in sorted(out, key=lambda r: r.x)] == kmers
-
-
-def test_training_improves(spark):
-    rng = np.random.default_rng(6)
-    level = dict(zip("abcdef", (45.0, 55.0, 62.0, 70.0, 78.0, 88.0)))
-    rows = []
-    for i in range(12):
-        seq = [str(x) for x in rng.choice(list(level), 30)]
-        events = [level[k] + rng.normal(0, 1.5) for k in seq for _ in range(1 + (rng.random() < 0.2)) if rng.random() > 0.1]
-        rows.append((i, [[k] for k in seq], [float(e) for e in events], None))
-    reads = spark.createDataFrame(rows, "read_id long, kmers array<array<string>>, events array<double>, anchors array<struct<x:int,y:int>>")
-    model = spark.createDataFrame([(k, v + 1.5, 3.0) for k, v in level.items()], "kmer string, level_mean double, level_sd double")
-    trans, model, history = hmm.baum_welch(reads, model, 4)
-    assert all(b > a for a, b in zip(history, history[1:]))
-    assert trans.sum(axis=1) == pytest.approx(np.ones(3)) and trans[1, 2] == 0
-    assert {r.kmer: r.level_mean for r in model.collect()} == pytest.approx(level, abs=1.0)
-
-
 def test_hierarchical_mixture(spark):
     rng = np.random.default_rng(8)
     rows = [(g, i + 1000 * k, float(x)) for k, (g, m) in enumerate((("a", 40), ("b", 60))) for i, x in enumerate(np.r_[rng.normal(m, 2, 150), rng.normal(80, 2, 50)])]

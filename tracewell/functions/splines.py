@@ -30,6 +30,15 @@ def slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def cubic(v: np.ndarray, low: float, step: float, pdf: np.ndarray, slope: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Values at v of the splines in `row` of tables [spline, knot] on one even grid; straight lines beyond its ends, never below 0."""
+    i = np.clip(np.floor((v - low) / step), 0, pdf.shape[1] - 2).astype(np.int64)
+    t = (v - low) / step - i
+    p, q, s, e = pdf[row, i], pdf[row, i + 1], slope[row, i] * step, slope[row, i + 1] * step
+    inside = p * (1 + 2 * t) * (1 - t) * (1 - t) + s * t * (1 - t) * (1 - t) + q * t * t * (3 - 2 * t) + e * t * t * (t - 1)
+    return np.maximum(np.where(t < 0, p + s * t, np.where(t > 1, q + e * (t - 1), inside)), 0.0)
+
+
 def with_slopes(density: DataFrame, key: str = "node") -> DataFrame:
     """Adds `slope` to key, grid_ix, x, pdf. A group is one grid, whose size the caller chooses."""
 

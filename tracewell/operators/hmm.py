@@ -1,21 +1,27 @@
 """Posterior alignment of event series to k-mer sequences by a banded three-state pair HMM, and its training.
 
 States: match (k-mer and event), skip (a k-mer without event), extra (a further event of the same k-mer). Extra cannot
-follow skip. A position may stand for several concrete k-mers, its paths; a path goes on only to k-mers that overlap.
-One row of the input is one read or one block between split points, so Spark spreads the reads and nothing is
-shuffled; what a task holds is one read's band.
+follow skip. A place may stand for several concrete k-mers, its paths; a path goes on only to k-mers that overlap. A
+k-mer without a level keeps its place, and only a skip can pass it.
+
+One row of the input is one block of a read (see `blocks`), so Spark spreads the blocks and nothing is shuffled here. A
+task takes blocks of like length together, as one array per anti-diagonal. Of a long block it holds a window of diagonals
+and two at the start of each window before, from which the walk back makes the rest again.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.splines import cubic
+
 MATCH, SKIP, EXTRA = 0, 1, 2
 SKIP_EMISSION = math.log(0.1)
 EXTRA_WIDTH = 1.75  #: of the level's standard deviation for extra events
@@ -26,7 +32,10 @@ TRANSITIONS = np.array([
     [0.98668313780708949, 0.0, 0.013316862192910478],
 ])
 MAX_KMERS = 46_656  #: of the largest model, which bounds what is broadcast
-READ = "read_id long, kmers array<array<string>>, levels array<array<double>>, sds array<array<double>>, events array<double>, anchors array<struct<x:int,y:int>>"
+MAX_KNOTS = 1 << 24  #: values of all k-mers' tabulated densities together, for the same reason
+MARK_EVERY = 1000  #: diagonals whose forward values are held together
+HELD = 4 << 20  #: cells of a window that a batch of blocks holds at once, or one block's window
+BLOCK = "read_id long, block long, x0 long, y0 long, kmers array<array<string>>, events array<double>, anchors array<struct<x:int,y:int>>, ragged_left boolean, ragged_right boolean"
 
 
 def gaussian(x: np.ndarray, mu: np.ndarray, sd: np.ndarray) -> np.ndarray:
@@ -34,197 +43,334 @@ def gaussian(x: np.ndarray, mu: np.ndarray, sd: np.ndarray) -> np.ndarray:
     return -0.9189385332046727 - np.log(sd) - 0.5 * z * z
 
 
+@dataclass
+class Gaussian:
+    """Emissions by a level and its standard deviation for each k-mer. kmers: k-mer -> row of the arrays."""
+
+    kmers: dict[str, int]
+    level: np.ndarray
+    sd: np.ndarray
+
+    def match(self, kmer: np.ndarray, event: np.ndarray) -> np.ndarray:
+        return gaussian(event, self.level[kmer], self.sd[kmer])
+
+    def extra(self, kmer: np.ndarray, event: np.ndarray) -> np.ndarray:
+        return gaussian(event, self.level[kmer], self.sd[kmer] * EXTRA_WIDTH)
+
+
+@dataclass
+class Tabulated:
+    """Emissions by densities on an evenly spaced grid, as cubic splines; a match and an extra event have the same.
+
+    scale and shift undo the calibration of events, and a density of 0 counts as the least positive number.
+    """
+
+    kmers: dict[str, int]
+    low: float
+    step: float
+    pdf: np.ndarray  # [k-mer, knot]
+    slope: np.ndarray
+    scale: float = 1.0
+    shift: float = 0.0
+
+    def match(self, kmer: np.ndarray, event: np.ndarray) -> np.ndarray:
+        return np.log(np.maximum(cubic((event - self.shift) / self.scale, self.low, self.step, self.pdf, self.slope, kmer) / self.scale, 5e-324))
+
+    extra = match
+
+
 def band(nx: int, ny: int, anchors: list[tuple[int, int]], width: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """For each anti-diagonal x + y the least and greatest x: `width` cells about the line through the anchors."""
+    """For each anti-diagonal x + y the least and greatest x: cells up to width / 2 from the line through the anchors, in integers."""
     d = np.arange(nx + ny + 1)
     low, high = np.maximum(0, d - ny), np.minimum(nx, d)
     if width is not None:
-        px, py = zip((0, 0), *sorted(anchors), (nx, ny), strict=True)
-        centre = np.interp(d, np.add(px, py), px)
-        low, high = np.maximum(low, np.ceil(centre - width / 2).astype(int)), np.minimum(high, np.floor(centre + width / 2).astype(int))
+        px, py = np.array([(0, 0), *sorted(anchors), (nx, ny)], np.int64).T
+        at = px + py
+        k = np.clip(np.searchsorted(at, d, "right") - 1, 0, max(len(at) - 2, 0))
+        den = np.maximum(at[k + 1] - at[k], 1)
+        centre = 2 * (px[k] * den + (d - at[k]) * (px[k + 1] - px[k]))  # twice the line's x, times den
+        low, high = np.maximum(low, -((width * den - centre) // (2 * den))), np.minimum(high, (centre + width * den) // (2 * den))
     return low, np.maximum(high, low)
 
 
-class Lattice:
-    """Forward and backward sums of one read, in logs; cells are held by anti-diagonal as [x, state, path]."""
+def lse(x: np.ndarray, axis: int) -> np.ndarray:
+    """log of the sum of exp(x) along an axis; minus infinity where all are."""
+    top = x.max(axis=axis, keepdims=True)
+    top = np.where(np.isfinite(top), top, 0.0)
+    with np.errstate(divide="ignore"):
+        return np.log(np.exp(x - top).sum(axis=axis)) + np.squeeze(top, axis)
+
+
+class Batch:
+    """Blocks of like length, held as arrays [block, ...]; cells of a diagonal are [block, x - least x, state, path]."""
 
-    def __init__(self, levels: np.ndarray, sds: np.ndarray, legal: np.ndarray, events: np.ndarray, trans: np.ndarray, limits: tuple[np.ndarray, np.ndarray]):
-        self.mu, self.sd, self.legal, self.events = levels, sds, legal, events
-        self.nx, self.ny, self.paths = len(levels), len(events), levels.shape[1]
-        self.low, self.high = limits
+    def __init__(self, rows: list, emission, transitions: np.ndarray, width: int | None, every: int = MARK_EVERY):
+        self.emission, self.every = emission, every
         with np.errstate(divide="ignore"):
-            self.t = np.log(trans)
-        self.emissions = [self._emissions(d) for d in range(self.nx + self.ny + 1)]
-        self.forward = self._forward()
-        self.total = np.logaddexp.reduce(self.forward[-1][0].ravel()) + math.log(1 / 3)
-        self.backward = self._backward()
-
-    def _emissions(self, d: int) -> np.ndarray:
-        x = np.arange(self.low[d], self.high[d] + 1)
-        y = d - x
-        out = np.full((len(x), 3, self.paths), -np.inf)
-        have = np.flatnonzero(x > 0)
-        mu, sd = self.mu[x[have] - 1], self.sd[x[have] - 1]
-        some = np.isfinite(mu)
-        out[have, SKIP] = np.where(some, SKIP_EMISSION, -np.inf)
-        seen = have[y[have] > 0]
-        mu, sd, some = self.mu[x[seen] - 1], self.sd[x[seen] - 1], np.isfinite(self.mu[x[seen] - 1])
-        e = self.events[y[seen] - 1][:, None]
-        out[seen, MATCH] = np.where(some, gaussian(e, np.where(some, mu, 0), np.where(some, sd, 1)), -np.inf)
-        out[seen, EXTRA] = np.where(some, gaussian(e, np.where(some, mu, 0), np.where(some, sd, 1) * EXTRA_WIDTH), -np.inf)
+            self.t = np.log(transitions)
+        self.nx, self.ny = np.array([len(r.kmers) for r in rows]), np.array([len(r.events) for r in rows])
+        self.last = self.nx + self.ny
+        n, top = len(rows), int(self.last.max())
+        self.paths = max((len(o) for r in rows for o in r.kmers), default=1)
+        self.kmer = np.full((n, self.nx.max() + 1, self.paths), -2)  # -1: no level, -2: no such path
+        self.event = np.zeros((n, self.ny.max() + 1))
+        self.low, self.high = np.zeros((n, top + 1), np.int64), np.full((n, top + 1), -1)
+        for i, r in enumerate(rows):
+            for p in range(self.paths):
+                own = [emission.kmers.get(o[p], -1) if p < len(o) else -2 for o in r.kmers]
+                self.kmer[i, 1 : len(own) + 1, p] = own
+            self.event[i, 1 : len(r.events) + 1] = r.events
+            anchors = [(int(a["x"]) + 1, int(a["y"]) + 1) for a in r.anchors] if r.anchors is not None else []
+            self.low[i, : self.last[i] + 1], self.high[i, : self.last[i] + 1] = band(int(self.nx[i]), int(self.ny[i]), anchors, width)
+        self.kmer[:, 0] = self.kmer[:, 1]  # events before the first k-mer are extra events of it, on each of its paths
+        self.width = int((self.high - self.low).max()) + 1
+        self.gate = self._gates(rows) if self.paths > 1 else None
+        self.left, self.right = (np.array([bool(getattr(r, c)) for r in rows]) for c in ("ragged_left", "ragged_right"))
+        self.block = np.arange(n)
+        self.total, self.expected = np.full(n, -np.inf), np.zeros((n, 3, 3))
+        self.most_held = 0  # diagonals
+
+    def _gates(self, rows: list) -> np.ndarray:
+        """[block, x, from, to]: 0 where the path at x - 1 may go on to that at x; the first k-mer's begin before it."""
+        gate = np.full((len(rows), self.kmer.shape[1] + 1, self.paths, self.paths), -np.inf)
+        for i, r in enumerate(rows):
+            gate[i, 1][np.diag_indices(len(r.kmers[0]))] = 0.0
+            for x in range(1, len(r.kmers)):
+                for p, a in enumerate(r.kmers[x - 1]):
+                    for q, b in enumerate(r.kmers[x]):
+                        if a is None or b is None or a[1:] == b[:-1]:
+                            gate[i, x + 1, p, q] = 0.0
+        return gate
+
+    def _places(self, d: int) -> np.ndarray:
+        return self.low[:, d, None] + np.arange(self.width)
+
+    def _at(self, cells: np.ndarray | None, d: int, x: np.ndarray) -> np.ndarray:
+        """Cells of diagonal d at the places x; minus infinity outside the band."""
+        if cells is None or not 0 <= d < self.low.shape[1]:
+            return np.full((*x.shape, 3, self.paths), -np.inf)
+        i = x - self.low[:, d, None]
+        out = cells[self.block[:, None], np.clip(i, 0, self.width - 1)]
+        out[(i < 0) | (x > self.high[:, d, None])] = -np.inf
         return out
 
-    def _take(self, rows: list, d: int, x: np.ndarray) -> np.ndarray:
-        """Cells of diagonal d at the places x; minus infinity outside the band."""
-        out = np.full((len(x), 3, self.paths), -np.inf)
-        if 0 <= d < len(self.low):
-            ok = (x >= self.low[d]) & (x <= self.high[d])
-            out[ok] = rows[d][x[ok] - self.low[d]]
+    def _emissions(self, d: int, x: np.ndarray) -> np.ndarray:
+        """Of the three states at the places x of diagonal d; minus infinity outside the band."""
+        y = d - x
+        inside = (x <= self.high[:, d, None]) & (y >= 0)
+        kmer = self.kmer[self.block[:, None], np.clip(x, 0, self.kmer.shape[1] - 1)]
+        event = self.event[self.block[:, None], np.clip(y, 0, self.event.shape[1] - 1)][:, :, None]
+        known, some = np.maximum(kmer, 0), inside[:, :, None] & (kmer > -2)
+        seen = some & (kmer >= 0) & (y > 0)[:, :, None]
+        blank = np.isnan(event)  # an event without level says nothing about its k-mer
+        out = np.full((*x.shape, 3, self.paths), -np.inf)
+        out[:, :, SKIP] = np.where(some & (x > 0)[:, :, None], SKIP_EMISSION, -np.inf)
+        if len(self.emission.kmers):
+            level = np.where(blank, 0.0, event)
+            out[:, :, MATCH] = np.where(seen & (x > 0)[:, :, None], np.where(blank, 0.0, self.emission.match(known, level)), -np.inf)
+            out[:, :, EXTRA] = np.where(seen, np.where(blank, 0.0, self.emission.extra(known, level)), -np.inf)
         return out
 
-    def _step(self, cells: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Sums over the paths at x - 1 that may go on to each path at x."""
-        if self.paths == 1:
-            return cells
-        ok = np.where(x > 1, True, False)
-        gate = self.legal[np.maximum(x - 1, 0)]  # [x, from, to]
-        moved = np.logaddexp.reduce(cells[:, :, :, None] + gate[:, None], axis=2)
-        start = np.logaddexp.reduce(cells, axis=2, keepdims=True)
-        return np.where(ok[:, None, None], moved, np.broadcast_to(start, moved.shape) - math.log(self.paths))
-
-    def _forward(self) -> list[np.ndarray]:
-        rows: list[np.ndarray] = []
-        with np.errstate(invalid="ignore"):
-            for d in range(self.nx + self.ny + 1):
-                x = np.arange(self.low[d], self.high[d] + 1)
-                if d == 0:
-                    rows.append(np.full((1, 3, self.paths), math.log(1 / 3 / self.paths)))
-                    continue
-                across = self._step(self._take(rows, d - 2, x - 1), x)
-                along = self._step(self._take(rows, d - 1, x - 1), x)
-                stay = self._take(rows, d - 1, x)
-                cell = np.stack([np.logaddexp.reduce(source + self.t[:, state][None, :, None], axis=1) for state, source in ((MATCH, across), (SKIP, along), (EXTRA, stay))], axis=1)
-                rows.append(cell + self.emissions[d])
-        return rows
-
-    def _backward(self) -> list[np.ndarray]:
-        last = self.nx + self.ny
-        rows: list = [None] * (last + 1)
-        self.expected = np.zeros((3, 3))
-        with np.errstate(invalid="ignore"):
-            for d in range(last, -1, -1):
-                x = np.arange(self.low[d], self.high[d] + 1)
-                cell = np.full((len(x), 3, self.paths), -np.inf)
-                if d == last:
-                    cell[:] = math.log(1 / 3)
-                for state, step, dx in ((MATCH, 2, 1), (SKIP, 1, 1), (EXTRA, 1, 0)):
-                    if d + step > last:
-                        continue
-                    ahead = (self._take(rows, d + step, x + dx) + self._take(self.emissions, d + step, x + dx))[:, state]
-                    if dx and self.paths > 1:
-                        gate = self.legal[np.minimum(x, self.nx - 1)]
-                        opened = np.logaddexp.reduce(gate + ahead[:, None, :], axis=2)
-                        first = np.broadcast_to(np.logaddexp.reduce(ahead, axis=1, keepdims=True), opened.shape) - math.log(self.paths)
-                        ahead = np.where((x > 0)[:, None], opened, first)
-                    for source in range(3):
-                        way = self.t[source, state] + ahead
-                        cell[:, source] = np.logaddexp(cell[:, source], way)
-                        self.expected[source, state] += np.exp(self.forward[d][:, source] + way - self.total).sum()
-                rows[d] = cell
-        return rows
-
-    def matches(self, threshold: float) -> Iterator[tuple[int, int, int, float]]:
-        """(x, y, path, p) of every pair whose posterior reaches the threshold; p is clamped to 1 and cut to 1e-7."""
-        for d, (f, b) in enumerate(zip(self.forward, self.backward, strict=True)):
-            p = np.exp(f[:, MATCH] + b[:, MATCH] - self.total)
-            for i, path in zip(*np.nonzero(p >= threshold), strict=True):
-                x = int(self.low[d] + i)
-                if x and d - x:
-                    yield x - 1, d - x - 1, int(path), math.floor(min(p[i, path], 1.0) * 1e7) / 1e7
-
-
-def lattice(row, trans: np.ndarray, width: int | None) -> Lattice:
-    n = max(map(len, row.kmers))
-    pad = lambda values, fill: np.array([[*v, *[fill] * (n - len(v))] for v in values], float)
-    levels, sds = pad(row.levels, np.nan), pad(row.sds, 1.0)
-    legal = np.full((len(row.kmers), n, n), -np.inf)
-    if n > 1:
-        for x in range(1, len(row.kmers)):
-            for p, a in enumerate(row.kmers[x - 1]):
-                for q, b in enumerate(row.kmers[x]):
-                    if a[1:] == b[:-1]:
-                        legal[x, p, q] = 0.0
-    anchors = [(int(a["x"]) + 1, int(a["y"]) + 1) for a in row.anchors] if row.anchors is not None else []
-    return Lattice(levels, sds, legal, np.asarray(row.events, float), trans, band(len(row.kmers), len(row.events), anchors, width))
-
-
-def posteriors(reads: DataFrame, threshold: float = 0.01, width: int | None = None, transitions: np.ndarray = TRANSITIONS) -> DataFrame:
-    """read_id, x, y, kmer and p of all pairs above the threshold. reads: schema READ; rows without k-mers or events give none."""
+    def _forward(self, d: int, before: np.ndarray, two_before: np.ndarray | None) -> np.ndarray:
+        x = self._places(d)
+        across, along = self._at(two_before, d - 2, x - 1), self._at(before, d - 1, x - 1)
+        if self.gate is not None:
+            gate = self.gate[self.block[:, None], np.clip(x, 0, self.gate.shape[1] - 1)][:, :, None]
+            across, along = (lse(c[..., None] + gate, 3) for c in (across, along))
+        stay = self._at(before, d - 1, x)
+        cell = np.stack([lse(source + self.t[:, state][:, None], 2) for state, source in ((MATCH, across), (SKIP, along), (EXTRA, stay))], axis=2)
+        return cell + self._emissions(d, x)
+
+    def _start(self) -> np.ndarray:
+        """A plain start is like a match; a ragged one like a gap."""
+        cell = np.full((len(self.block), self.width, 3, self.paths), -np.inf)
+        plain, ragged = [0.0, -np.inf, -np.inf], [-np.inf, 0.0, 0.0]
+        cell[:, 0] = np.where(self.left[:, None], ragged, plain)[:, :, None] + np.where(self.kmer[:, :1] > -2, 0.0, -np.inf)
+        return cell
+
+    def _end(self, ragged: np.ndarray) -> np.ndarray:
+        """[block, state]: a plain end is like a step to a match; a ragged one like one to a gap."""
+        gap = [(self.t[MATCH, SKIP] + self.t[MATCH, EXTRA]) / 2, self.t[SKIP, SKIP], self.t[EXTRA, EXTRA]]
+        return np.where(ragged[:, None], gap, self.t[:, MATCH])
+
+    def _open(self, way: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Values of the paths at x + 1 as sums over those that each path at x may go on to."""
+        if self.gate is None:
+            return way
+        return lse(self.gate[self.block[:, None], np.clip(x + 1, 0, self.gate.shape[1] - 1)] + way[:, :, None], 3)
+
+    def _sweep(self, rows: dict[int, np.ndarray], low: int, high: int) -> None:
+        """Adds the forward values of diagonals low + 1 to high, from those of low and low - 1."""
+        for d in range(low + 1, high + 1):
+            rows[d] = self._forward(d, rows[d - 1], rows.get(d - 2))
+            own = np.flatnonzero(self.last == d)
+            if len(own):
+                ended = rows[d][own] + self._end(self.right[own])[:, None, :, None]
+                self.total[own] = lse(ended.reshape(len(own), -1), 1)
+
+    def matches(self, threshold: float, expectations: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+        """Arrays (block, x, y, path, p) of the pairs whose posterior reaches the threshold; p is clamped to 1 and cut to 1e-7.
+
+        From the start `total` has each block's log-likelihood; at the end `expected` has its expected transitions, if
+        they are asked for. Forward values are kept at the marks and between the last two only, and the walk back makes
+        those before a mark again: all values are exact, whatever the window.
+        """
+        end, rows, marks, low = int(self.last.max()), {0: self._start()}, {}, 0
+        while low + self.every < end:
+            self._sweep(rows, low, low + self.every)
+            self.most_held = max(self.most_held, len(rows) + 2 * len(marks))
+            marks[low] = {d: rows[d] for d in (low - 1, low) if d in rows}
+            low += self.every
+            rows = {d: rows[d] for d in (low - 1, low)}
+        self._sweep(rows, low, end)
+        self.most_held = max(self.most_held, len(rows) + 2 * len(marks))
+        last = self._end(self.right)[:, None, :, None]
+        total = np.where(np.isfinite(self.total), self.total, np.inf)[:, None, None]
+        ahead: dict[int, np.ndarray] = {}  # backward values with their cells' emissions, of the two diagonals after d
+        for d in range(end, -1, -1):
+            if d not in rows:
+                low -= self.every
+                rows = marks.pop(low)
+                self._sweep(rows, low, d)
+            x = self._places(d)
+            inside = (x <= self.high[:, d, None])[:, :, None, None]
+            moves = []
+            for state, step, dx in ((MATCH, 2, 1), (SKIP, 1, 1), (EXTRA, 1, 0)):
+                way = self._at(ahead.get(d + step), d + step, x + dx)[:, :, state]
+                moves.append((self._open(way, x) if dx else way)[:, :, None] + self.t[:, state][:, None])
+                if expectations:
+                    self.expected[:, :, state] += np.exp(rows[d] + moves[-1] - total[..., None]).sum(axis=(1, 3))
+            back = np.where((self.last == d)[:, None, None, None], last, lse(np.stack(moves), 0))
+            back = np.where(inside, back, -np.inf)
+            p = np.exp(rows[d][:, :, MATCH] + back[:, :, MATCH] - total)
+            i, j, path = np.nonzero(p >= threshold)
+            some = (x[i, j] > 0) & (d - x[i, j] > 0)
+            i, j, path = i[some], j[some], path[some]
+            yield i, x[i, j] - 1, d - x[i, j] - 1, path, np.floor(np.minimum(p[i, j, path], 1.0) * 1e7) / 1e7
+            ahead[d] = back + self._emissions(d, x)
+            ahead.pop(d + 2, None)
+
+
+def batches(rows: list, width: int | None, every: int) -> Iterator[list]:
+    """Blocks that have k-mers and events, in groups of like length and paths whose windows fit together."""
+    rows = [r for r in rows if len(r.kmers) and len(r.events)]
+    size = lambda r: min(len(r.kmers) + len(r.events), every) * 3 * max(map(len, r.kmers)) * (min(len(r.kmers), width or 1 << 60) + 1)
+    rows.sort(key=lambda r: (max(map(len, r.kmers)), len(r.kmers) + len(r.events)))
+    group: list = []
+    for r in rows:
+        if group and (len(group) + 1) * size(r) > HELD:
+            yield group
+            group = []
+        group.append(r)
+    if group:
+        yield group
+
+
+def posteriors(blocks: DataFrame, emission: Gaussian | Tabulated, threshold: float = 0.01, width: int | None = None, transitions: np.ndarray = TRANSITIONS, every: int = MARK_EVERY) -> DataFrame:
+    """read_id, x, y, kmer and p of all pairs that reach the threshold, in the read's own places. blocks: schema BLOCK.
+
+    width: cells about the line through the anchors. every: diagonals that a task holds at once. Blocks without k-mers or events give no rows. Null levels of events say nothing about k-mers.
+    """
+    shared = blocks.sparkSession.sparkContext.broadcast(emission)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for row in frame.itertuples():
-                if len(row.kmers) and len(row.events):
-                    out += [(row.read_id, x, y, row.kmers[x][path], p) for x, y, path, p in lattice(row, transitions, width).matches(threshold)]
-            yield pd.DataFrame(out, columns=["read_id", "x", "y", "kmer", "p"])
+            for rows in batches(list(frame.itertuples()), width, every):
+                parts = list(Batch(rows, shared.value, transitions, width, every).matches(threshold))
+                i, x, y, path, p = (np.concatenate(c) for c in zip(*parts, strict=True))
+                ids, x0, y0 = (np.array([getattr(r, c) for r in rows], np.int64) for c in ("read_id", "x0", "y0"))
+                names = [rows[a].kmers[b][c] for a, b, c in zip(i.tolist(), x.tolist(), path.tolist(), strict=True)]
+                yield pd.DataFrame({"read_id": ids[i], "x": x + x0[i], "y": y + y0[i], "kmer": names, "p": p})
 
-    return reads.mapInPandas(run, "read_id long, x long, y long, kmer string, p double")
+    return blocks.mapInPandas(run, "read_id long, x long, y long, kmer string, p double")
 
 
-def expectations(reads: DataFrame, transitions: np.ndarray, width: int | None = None) -> DataFrame:
-    """Summed over reads: by kind 't' (from, to) expected transitions, by kind 'k' (kmer) sums of p, p x and p x**2, 'z' log-likelihoods."""
+def likelihoods(blocks: DataFrame, emission: Gaussian | Tabulated, width: int | None = None, transitions: np.ndarray = TRANSITIONS) -> DataFrame:
+    """read_id, block and the log-likelihood of every block with k-mers and events."""
+    shared = blocks.sparkSession.sparkContext.broadcast(emission)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for row in frame.itertuples():
-                if not (len(row.kmers) and len(row.events)):
-                    continue
-                z = lattice(row, transitions, width)
-                out.append(("z", "", 1.0, float(z.total), 0.0))
-                out += [("t", f"{i}{j}", float(z.expected[i, j]), 0.0, 0.0) for i in range(3) for j in range(3)]
-                out += [("k", row.kmers[x][path], p, p * row.events[y], p * row.events[y] ** 2) for x, y, path, p in z.matches(0.01)]
-            part = pd.DataFrame(out, columns=["kind", "key", "p", "px", "pxx"])
-            yield part.groupby(["kind", "key"], as_index=False).sum()
+            for rows in batches(list(frame.itertuples()), width, MARK_EVERY):
+                z = Batch(rows, shared.value, transitions, width)
+                for _ in z.matches(2.0):
+                    pass
+                yield pd.DataFrame({"read_id": [r.read_id for r in rows], "block": [r.block for r in rows], "log_likelihood": z.total})
 
-    sums = reads.mapInPandas(run, "kind string, key string, p double, px double, pxx double")
-    return sums.groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in ("p", "px", "pxx")])
+    return blocks.mapInPandas(run, "read_id long, block long, log_likelihood double")
 
 
-def with_levels(reads: DataFrame, model: DataFrame) -> DataFrame:
-    """Adds levels and sds to reads with kmers, events and anchors; the model has a row for each k-mer of a small alphabet."""
-    table = {r["kmer"]: (r["level_mean"], r["level_sd"]) for r in model.select("kmer", "level_mean", "level_sd").limit(MAX_KMERS + 1).collect()}
-    if len(table) > MAX_KMERS:
-        raise ValueError(f"more than {MAX_KMERS} k-mers")
-    shared = reads.sparkSession.sparkContext.broadcast(table)
+def expectations(blocks: DataFrame, emission: Gaussian | Tabulated, transitions: np.ndarray, width: int | None = None) -> DataFrame:
+    """Summed over blocks: by kind 't' (from, to) expected transitions, by kind 'k' (kmer) sums of p, p x and p x**2, 'z' log-likelihoods."""
+    shared = blocks.sparkSession.sparkContext.broadcast(emission)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            known = [[[m for m in options if m in shared.value] for options in row] for row in frame["kmers"]]
-            known = [[o for o in row if o] for row in known]
-            frame["kmers"] = known
-            frame["levels"] = [[[shared.value[m][0] for m in o] for o in row] for row in known]
-            frame["sds"] = [[[shared.value[m][1] for m in o] for o in row] for row in known]
-            yield frame[["read_id", "kmers", "levels", "sds", "events", "anchors"]]
+            out = []
+            for rows in batches(list(frame.itertuples()), width, MARK_EVERY):
+                z = Batch(rows, shared.value, transitions, width)
+                for i, x, y, path, p in z.matches(0.01, expectations=True):
+                    for a, b, c, d, q in zip(i.tolist(), x.tolist(), y.tolist(), path.tolist(), p.tolist(), strict=True):
+                        event = rows[a].events[c]
+                        if event is not None and not math.isnan(event):
+                            out.append(("k", rows[a].kmers[b][d], q, q * event, q * event * event))
+                ok = np.isfinite(z.total)
+                out.append(("z", "", float(ok.sum()), float(z.total[ok].sum()), 0.0))
+                out += [("t", f"{i}{j}", float(z.expected[:, i, j].sum()), 0.0, 0.0) for i in range(3) for j in range(3)]
+            part = pd.DataFrame(out, columns=["kind", "key", "p", "px", "pxx"])
+            yield part.groupby(["kind", "key"], as_index=False).sum()
 
-    return reads.select("read_id", "kmers", "events", "anchors").mapInPandas(run, READ)
+    sums = blocks.mapInPandas(run, "kind string, key string, p double, px double, pxx double")
+    return sums.groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in ("p", "px", "pxx")])
 
 
-def baum_welch(reads: DataFrame, model: DataFrame, iterations: int, width: int | None = None) -> tuple[np.ndarray, DataFrame, list[float]]:
-    """Transitions, model and the log-likelihood before each iteration. The loop keeps nine transitions and one row a k-mer."""
-    trans, history = TRANSITIONS, []
-    spark = reads.sparkSession
+def gaussian_emission(model: DataFrame) -> Gaussian:
+    """Of a model's rows kmer, level_mean, level_sd (above 0); more than MAX_KMERS raise a ValueError."""
+    rows = model.select("kmer", "level_mean", "level_sd").where("kmer is not null and level_sd > 0").limit(MAX_KMERS + 1).collect()
+    if len(rows) > MAX_KMERS:
+        raise ValueError(f"more than {MAX_KMERS} k-mers")
+    rows.sort()
+    return Gaussian({r["kmer"]: i for i, r in enumerate(rows)}, np.array([r["level_mean"] for r in rows], float), np.array([r["level_sd"] for r in rows], float))
+
+
+def tabulated_emission(knots: DataFrame, scale: float = 1.0, shift: float = 0.0, key: str = "node") -> Tabulated:
+    """Of the knots of k-mers on one evenly spaced grid: key, grid_ix, x, pdf, slope. More than MAX_KNOTS values raise a ValueError."""
+    rows = knots.select(key, "grid_ix", "x", "pdf", "slope").limit(MAX_KNOTS + 1).collect()
+    if len(rows) > MAX_KNOTS:
+        raise ValueError(f"more than {MAX_KNOTS} knots: take fewer points for so many k-mers")
+    names = sorted({r[key] for r in rows})
+    number, points = {k: i for i, k in enumerate(names)}, 1 + max((r["grid_ix"] for r in rows), default=0)
+    x, pdf, slope = np.zeros(points), np.full((len(names), points), np.nan), np.zeros((len(names), points))
+    for r in rows:
+        x[r["grid_ix"]] = r["x"]
+        pdf[number[r[key]], r["grid_ix"]], slope[number[r[key]], r["grid_ix"]] = r["pdf"], r["slope"]
+    if np.isnan(pdf).any() or points < 2:
+        raise ValueError("every k-mer needs every point of one grid of two points or more")
+    return Tabulated(number, float(x[0]), float(x[1] - x[0]), pdf, slope, scale, shift)
+
+
+def baum_welch(blocks: DataFrame, model: DataFrame, iterations: int, width: int | None = None) -> tuple[np.ndarray, DataFrame, list[float]]:
+    """Transitions, model and the log-likelihood before each iteration. The driver keeps nine transitions and one row a k-mer.
+
+    Give blocks that are written, since each iteration reads them. A k-mer without matches, or whose matches have no
+    spread, keeps its level and deviation.
+    """
+    emission, trans, history = gaussian_emission(model), TRANSITIONS, []
     for _ in range(iterations):
-        sums = expectations(with_levels(reads, model), trans, width).collect()  # at most the k-mers of the alphabet
+        sums = expectations(blocks, emission, trans, width).collect()  # at most the k-mers of the model
         history.append(sum(r["px"] for r in sums if r["kind"] == "z"))
         counts = np.zeros((3, 3))
+        level, sd = emission.level.copy(), emission.sd.copy()
         for r in sums:
             if r["kind"] == "t":
                 counts[int(r["key"][0]), int(r["key"][1])] = r["p"]
-        trans = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-300)
-        seen = [(r["key"], r["px"] / r["p"], math.sqrt(max(r["pxx"] / r["p"] - (r["px"] / r["p"]) ** 2, 1e-4))) for r in sums if r["kind"] == "k" and r["p"] > 1e-9]
-        new = spark.createDataFrame(seen, "kmer string, _m double, _s double")
-        model = model.join(F.broadcast(new), "kmer", "left").select("kmer", F.coalesce("_m", "level_mean").alias("level_mean"), F.coalesce("_s", "level_sd").alias("level_sd"))
-        model = spark.createDataFrame(model.collect(), "kmer string, level_mean double, level_sd double")
-    return trans, model, history
+            if r["kind"] == "k" and r["p"] > 0:
+                mean = r["px"] / r["p"]
+                spread = r["pxx"] / r["p"] - mean * mean
+                if spread > 1e-12 * mean * mean:
+                    i = emission.kmers[r["key"]]
+                    level[i], sd[i] = mean, math.sqrt(spread)
+        trans = np.where(counts.sum(axis=1, keepdims=True) > 0, counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-300), trans)
+        emission = Gaussian(emission.kmers, level, sd)
+    rows = [(k, float(emission.level[i]), float(emission.sd[i])) for k, i in emission.kmers.items()]
+    return trans, blocks.sparkSession.createDataFrame(rows, "kmer string, level_mean double, level_sd double"), history

@@ -13,7 +13,7 @@ from ..functions import sequences as sq
 from ..functions import splines
 from ..operators import anchors, calls, metrics, priors, scaling, windows
 from .projection import MODEL, SEQUENCES, SERIES, K, kmer_model, sequences, series, with_sql
-from . import alignments, coordinates  # noqa: F401  register their queries
+from . import alignments, coordinates, posteriors  # noqa: F401  register their queries
 from .projection import anchors as anchor_pairs
 from .registry import query, table
 
@@ -532,47 +532,6 @@ def embedding_l2(spark, sf_dir):
 # --- iterative operators: no SQL, tested on their invariants ---------------------------------------------------------
 
 
-def hmm_reads(spark: SparkSession, sf_dir: str, ambiguous: bool = False) -> DataFrame:
-    """Each read's events, one in eleven left out, against all its k-mers; ambiguous: C and E stand for each other."""
-    s = series(spark, sf_dir).where("kmer is not null")
-    options = F.when(F.lit(ambiguous), sq.expand_ambiguous(F.translate("kmer", "CE", "XX"), K, sq.OPTIONS["cytosine2"])).otherwise(F.array("kmer"))
-    items = F.array_sort(F.collect_list(F.struct("event_index", "mean", options.alias("k"), (F.col("event_index") % 11 != 5).alias("seen"))))
-    rows = s.groupBy("read_id").agg(items.alias("i"))
-    kept = F.filter("i", lambda x: x["seen"])
-    marks = F.filter(F.transform(kept, lambda x, n: F.struct(x["event_index"].cast("int").alias("x"), n.alias("y"))), lambda a: a["y"] % 10 == 0)
-    return rows.select("read_id", F.transform("i", lambda x: x["k"]).alias("kmers"), F.transform(kept, lambda x: x["mean"]).alias("events"), marks.alias("anchors"))
-
-
-@query("forward_backward_posteriors")
-def forward_backward_posteriors(spark, sf_dir):
-    from ..operators import hmm
-
-    return hmm.posteriors(hmm.with_levels(hmm_reads(spark, sf_dir), kmer_model(series(spark, sf_dir))))
-
-
-@query("banded_posteriors")
-def banded_posteriors(spark, sf_dir):
-    from ..operators import hmm
-
-    return hmm.posteriors(hmm.with_levels(hmm_reads(spark, sf_dir), kmer_model(series(spark, sf_dir))), width=20)
-
-
-@query("degenerate_posteriors")
-def degenerate_posteriors(spark, sf_dir):
-    from ..operators import hmm
-
-    return hmm.posteriors(hmm.with_levels(hmm_reads(spark, sf_dir, ambiguous=True), kmer_model(series(spark, sf_dir))), width=12)
-
-
-@query("em_transitions")
-def em_transitions(spark, sf_dir):
-    from ..operators import hmm
-
-    trans, _, history = hmm.baum_welch(hmm_reads(spark, sf_dir), kmer_model(series(spark, sf_dir)), 3, width=20)
-    names = ("match", "skip", "extra")
-    return spark.createDataFrame([(a, b, float(trans[i, j]), float(history[-1])) for i, a in enumerate(names) for j, b in enumerate(names)], "from_state string, to_state string, p double, log_likelihood double")
-
-
 @query("hdp_density")
 def hdp_density(spark, sf_dir):
     from ..operators import hdp
