@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -158,7 +159,18 @@ def test_token_counts(docs, rows, empty):
 # --- 5
 
 
-def repeats_by_hand(rows, span):
+def whole_characters(text, gone):
+    """What is left of a text if only characters go all of whose bytes are to go."""
+    out, at = [], 0
+    for c in text:
+        n = len(c.encode())
+        if not all(gone[at : at + n]):
+            out.append(c)
+        at += n
+    return "".join(out)
+
+
+def repeats_by_hand(rows, span, texts=False):
     first = {}
     big = 1 << 63
     for i, t in sorted(((big if i is None else i), (t or "").encode()) for i, t, *_ in rows):
@@ -171,7 +183,7 @@ def repeats_by_hand(rows, span):
             if first[b[s : s + span]] < (big if i is None else i):
                 gone[s : s + span] = b"\1" * span
         spans = len(re.findall(b"\1+", bytes(gone)))
-        yield i, len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone) if not g)
+        yield (i, len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone) if not g)) if not texts else (i, whole_characters(t or "", gone), len(b))
 
 
 @pytest.mark.parametrize("batch", [50, 200_000])
@@ -183,7 +195,20 @@ def test_repeats(docs, rows, empty, batch):
     assert sum(x[2] > 0 for x in want) > 10
     assert repeats.remove_repeats(empty).count() == 0
     left = repeats.without_repeats(docs)
-    assert left.columns == docs.columns and left.count() == sum(not x[2] or x[2] < x[1] for x in want)
+    assert left.columns == docs.columns
+    whole = [(i, t) for i, t, n in repeats_by_hand(rows, 50, texts=True) if t or not n]
+    assert key((r.doc_id, r.text or "") for r in left.collect()) == key(whole)
+
+
+def test_cuts_keep_other_characters(spark):
+    """A mark of an invalid character outside the cut stays, and so does a character that the cut splits."""
+    r = random.Random(9)
+    passage = "".join(r.choice("abcdefghij") for _ in range(60))
+    rows = [(1, f"first \ufffd {passage}\u00e9 end"), (2, f"keep (\ufffd) this {passage}\u00e8 and \ufffd that"), (3, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    have = {x.doc_id: x.text for x in repeats.without_repeats(docs).collect()}
+    assert have == {1: rows[0][1], 2: "keep (\ufffd) this\u00e8 and \ufffd that"} or have == {1: rows[0][1], 2: "keep (\ufffd) this \u00e8 and \ufffd that"}
+    assert have == {i: t for i, t, n in repeats_by_hand(rows, 50, texts=True) if t}
 
 
 def test_repeats_of_periodic_text(spark):
@@ -452,9 +477,38 @@ def test_parity_join(docs, rows, empty, percent, n, tile):
     if tile == 3:
         assert parity_join.jaccard_components(empty).count() == 0
         kept = parity_join.keep_one(docs, percent, n)
-        ids = [r.doc_id for r in kept.collect()]
-        want = {c for i, _, c in components_by_hand(rows, percent, n) if i is not None and i == c}
-        assert kept.columns == docs.columns and sorted(i for i in ids if i is not None) == sorted(want)
+        assert kept.columns == docs.columns
+        one_of_each(rows, [(r.doc_id, r.text) for r in kept.collect()], percent, n)
+
+
+def one_of_each(rows, kept, percent, n):
+    """Every component of texts keeps one row, of the least id (null last); rows without words stay."""
+    numbered = [(k, t) for k, (_, t, *_) in enumerate(rows)]
+    by = {}
+    for k, size, c in components_by_hand(numbered, percent, n):
+        by.setdefault(c if size else -1 - k, []).append(k)
+    kept, order = Counter(kept), lambda i: (i is None, i or 0)
+    assert sum(kept.values()) == len(by)
+    for members in by.values():
+        least = min(order(rows[k][0]) for k in members)
+        mine = {(rows[k][0], rows[k][1]) for k in members if order(rows[k][0]) == least}
+        assert any(kept[x] for x in mine)
+        kept.subtract([next(x for x in mine if kept[x])])
+    assert not any(kept.values())
+
+
+def test_keep_one_of_rows_that_share_ids(spark):
+    """Different texts under one id are judged by their own links; null ids have an order; extra columns may clash."""
+    r = random.Random(12)
+    words = lambda: " ".join(r.choice("abcdefgh") * r.randint(1, 6) + str(r.randint(0, 99)) for _ in range(40))
+    a, b, c, d = (words() for _ in range(4))
+    rows = [(5, a), (3, a), (5, b), (7, c), (7, d), (7, d), (None, c), (None, c), (None, words()), (9, None), (9, ""), (4, b + " more"), (None, None)]
+    docs = spark.createDataFrame([(i, t, k, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row int, label int").repartition(3)
+    have = parity_join.keep_one(docs, 80, 5)
+    assert have.columns == docs.columns
+    kept = [(x.doc_id, x.text) for x in have.collect()]
+    one_of_each(rows, kept, 80, 5)
+    assert (3, a) in kept and (5, a) not in kept and (7, c) in kept and kept.count((7, d)) == 1 and kept.count((None, c)) == 0
 
 
 def test_clusters_of_several_classes(spark):
@@ -531,13 +585,13 @@ def test_pipeline(spark, docs, rows, tmp_path):
     spark.createDataFrame([(1, " ".join(long[10:30]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     have = pipeline.run(spark, str(tmp_path)).collect()
     live = [(r[0], left, *r[2:]) for r, (lost, left) in zip(rows, without_lines(rows, 10)) if not rules_by_hand(r[1])[5] and lost <= 0.3 * rules_by_hand(r[1])[0]]
-    linked = components_by_hand(live, 80, 5)
-    once, ids = [], set()
-    for r, (i, _, c) in zip(live, linked):
-        if i is None or (i == c and i not in ids):
-            once.append(r)
-            ids.add(i)
-    left = [(i, b.decode(errors="ignore")) for i, n, gone, _, b in repeats_by_hand(once, 50) if not gone or gone < n]
+    linked = components_by_hand([(k, r[1]) for k, r in enumerate(live)], 80, 5)
+    once, seen = [], set()  # one row of each component: of the least id, null last; which of equal ids does not matter here
+    for k in sorted(range(len(live)), key=lambda k: (live[k][0] is None, live[k][0] or 0)):
+        if not linked[k][1] or linked[k][2] not in seen:
+            once.append(live[k])
+            seen.add(linked[k][2])
+    left = [(i, t) for i, t, n in repeats_by_hand(once, 50, texts=True) if t or not n]
     window = {tuple(long[10 + k : 20 + k]) for k in range(11)}
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     clean = []

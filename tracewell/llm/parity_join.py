@@ -279,15 +279,28 @@ def jaccard_components(docs: DataFrame, percent: int = 85, n_words: int = 4, doc
     return full.unionAll(members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def keep_one(docs: DataFrame, percent: int, n_words: int) -> DataFrame:
-    """One document of each component, the one with the least doc_id; of rows that share it, any one. Null ids stay."""
-    names = jaccard_components(docs, percent, n_words).where("doc_id is not null")
-    marks = cut(names.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") != F.col("component_id")).alias("_other"), (F.count("*") > 1).alias("_again")).where("_other or _again"))
-    kept = docs.join(marks.where("_other or _again").select("doc_id"), "doc_id", "left_anti")
-    if marks.where("not _other").limit(1).count():
-        again = docs.join(marks.where("not _other").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.unionByName(again)
-    return kept.select(*docs.columns)
+def keep_one(docs: DataFrame, percent: int, n_words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component of texts, the one with the least doc_id (null comes last), then the least hash of id and text.
+
+    Rows are told apart by id and text, so different texts under one id, or none, are judged each by its own links.
+    Of rows that are equal in both, one stays. Rows without text or words have no links and all stay.
+    """
+    row = F.xxhash64(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("~")), F.col(f"`{text}`"))
+    rows = docs.select(row.alias("row"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    names = cut(jaccard_components(rows, percent, n_words, doc_id="row").where("n_shingles > 0").select(F.col("doc_id").alias("row"), F.col("component_id").alias("label")))
+    several = names.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
+    near = names.join(several, "label").groupBy("row", "label").agg(F.count("*").alias("n")).join(rows.select("row", "id").distinct(), "row")
+    near = cut(near)
+    first = near.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("f")).select("label", F.col("f.row").alias("first"))
+    # a hash that two rows of different components share is no ground to drop either
+    judged = near.join(first, "label").groupBy("row").agg(F.bool_and(F.col("row") != F.col("first")).alias("other"), F.max("n").alias("n"))
+    judged = cut(judged.where("other or n > 1"))
+    marked = docs.withColumn("_row", row)
+    kept = marked.join(judged.select(F.col("row").alias("_row")), "_row", "left_anti")
+    if judged.where("not other").limit(1).count():
+        again = marked.join(judged.where("not other").select(F.col("row").alias("_row")), "_row", "left_semi")
+        kept = kept.unionByName(again.dropDuplicates([doc_id, text]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: stands for a null doc_id while sets are looked up; larger than any id, so that it never names a component

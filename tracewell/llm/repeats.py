@@ -332,7 +332,15 @@ def _judge(span: int, batch_windows: int, table: pa.Table) -> pa.Table:
 # --- third pass: cutting -------------------------------------------------------------------------------------------
 
 
-def _cut_repeats(n: int, id_name: str, span: int, k: int, schema: pa.Schema, left: pa.Table, marks: pa.Table, verdicts: pa.Table) -> pa.Table:
+def _whole_characters(gone: np.ndarray, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Of the bytes to remove those whose whole character is to be removed."""
+    begins = (buf & 0xC0) != 0x80
+    begins[off[:-1][off[:-1] < len(buf)]] = True
+    at = np.flatnonzero(begins)
+    return np.repeat(np.logical_and.reduceat(gone, at), np.diff(np.append(at, len(buf)))) if len(at) else gone
+
+
+def _cut_repeats(n: int, id_name: str, span: int, k: int, characters: bool, schema: pa.Schema, left: pa.Table, marks: pa.Table, verdicts: pa.Table) -> pa.Table:
     parts = []
     for number, block in _blocks(left, id_name, span, k):
         some, distinct, one, _ = block.marked(marks, n)
@@ -352,6 +360,8 @@ def _cut_repeats(n: int, id_name: str, span: int, k: int, schema: pa.Schema, lef
         x = block.start[some[which]] + inner[run]
         steps = np.bincount(x, minlength=len(block.buf) + 1) - np.bincount(x + width[run] + (span - 1), minlength=len(block.buf) + 1)
         gone = np.cumsum(steps)[:-1] > 0
+        if characters:
+            gone = _whole_characters(gone, block.buf, block.off)
         _, _, ptr = runs(gone, block.off)
         kept = np.concatenate([[0], np.cumsum(~gone)])[block.off]
         n_bytes = np.diff(block.off)
@@ -360,8 +370,11 @@ def _cut_repeats(n: int, id_name: str, span: int, k: int, schema: pa.Schema, lef
     return pa.concat_tables(parts) if parts else schema.empty_table()
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, k: int = GRAM, doc_id: str = "doc_id", text: str = "text", batch_windows: int = 200_000) -> DataFrame:
-    """`rest` (every other column, as a struct), n_bytes, n_removed, n_spans and `kept`, the remaining bytes."""
+def remove_repeats(docs: DataFrame, span: int = SPAN, k: int = GRAM, doc_id: str = "doc_id", text: str = "text", batch_windows: int = 200_000, characters: bool = False) -> DataFrame:
+    """`rest` (every other column, as a struct), n_bytes, n_removed, n_spans and `kept`, the remaining bytes.
+
+    characters: a character that lies only partly in repeats stays, so that what remains is text.
+    """
     n = shards_for(docs, text, 256 << 20)
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("rest")
     blocks = cut(docs.select(rest, F.col(text).alias("text")).mapInArrow(lambda it: _to_blocks(it), BLOCKS))
@@ -376,7 +389,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, k: int = GRAM, doc_id: str
 
     def finish(a, b):
         said = b.filter(pc.is_valid(b["counts"]))
-        return _cut_repeats(n, doc_id, span, k, schema, a, b.filter(pc.is_valid(b["bits"])), said)
+        return _cut_repeats(n, doc_id, span, k, characters, schema, a, b.filter(pc.is_valid(b["bits"])), said)
 
     return both(replies).applyInArrow(finish, out)
 
@@ -384,12 +397,10 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, k: int = GRAM, doc_id: str
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without their repeats, in their own columns; `n_chars`, if there is one, is counted again.
 
-    A character that a cut has split is dropped, and so is a document of which nothing is left.
+    Cuts are shortened to whole characters. A document of which nothing is left is dropped.
     """
-    found = remove_repeats(docs, doc_id=doc_id, text=text)
-    whole = F.col("kept").cast("string")
-    left = F.when(F.col("n_removed") == 0, whole).otherwise(F.replace(F.make_valid_utf8(whole), F.lit("\ufffd"), F.lit("")))
-    rows = found.where("n_removed = 0 or n_removed < n_bytes").select("rest.*", left.alias(text))
+    found = remove_repeats(docs, doc_id=doc_id, text=text, characters=True)
+    rows = found.where("n_removed = 0 or n_removed < n_bytes").select("rest.*", F.col("kept").cast("string").alias(text))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
