@@ -90,14 +90,14 @@ def rules_by_hand(t):
 def without_lines(rows, max_docs):
     """Words lost and text left of each row: lines of more than max_docs documents of a host go, but in the first of them."""
     norm = lambda x: re.sub(r"[0-9\x20\x09\x0B-\x0D]+", "", x).lower()
-    n, first = Counter(), {}
-    for i, t, _, src, *_ in rows:
+    docs, first = defaultdict(set), {}
+    for at, (i, t, _, src, *_) in enumerate(rows):
         for k in {(src, norm(x)) for x in (t or "").split("\n") if norm(x)}:
-            n[k] += 1
+            docs[k].add((i, None if i is not None else at))
             if i is not None:
                 first[k] = min(i, first.get(k, i))
     for i, t, _, src, *_ in rows:
-        gone = [x for x in (t or "").split("\n") if norm(x) and n[src, norm(x)] > max_docs and first.get((src, norm(x))) != i]
+        gone = [x for x in (t or "").split("\n") if norm(x) and len(docs[src, norm(x)]) > max_docs and first.get((src, norm(x))) != i]
         yield sum(len(WORD.findall(x)) for x in gone), "\n".join(x for x in (t or "").split("\n") if x not in gone)
 
 
@@ -115,6 +115,16 @@ def test_quality_rules(docs, rows, empty):
     assert {r.doc_id for r in kept.collect()} == {i for i, t, *_ in rows if not rules_by_hand(t)[5]}
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    text = lambda k: "The same line here\n" + " ".join(f"w{k}x{j}" for j in range(60))
+    rows = [(1, text(k), None, "h") for k in range(11)] + [(2, text(20), None, "h")] + [(None, text(30 + k), None, "n") for k in range(12)] + [(40, text(45), None, "n")] + [(k, text(50 + k), None, "m") for k in range(11)] + [(3, text(3), None, "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    have = quality_rules.quality_rules(docs, max_docs=10, keep=["doc_id", "source"]).collect()
+    want = Counter((r[0], r[3], lost) for r, (lost, _) in zip(rows, without_lines(rows, 10)))
+    assert Counter((r.doc_id, r.source, r.n_removed_words) for r in have) == want
+    assert {s for _, s, lost in want if lost} == {"n", "m"}
+
+
 def test_lines_above_the_limit_go(spark):
     """The text without them is returned, and the pipeline's stage writes it and counts n_chars again."""
     import corpus_pipeline
@@ -374,6 +384,24 @@ def test_hilbert(docs, rows, empty):
     assert hilbert.hilbert_shards(empty, ["lang", "source"]).count() == 0
 
 
+def test_hilbert_dimensions_of_any_type(spark):
+    import datetime
+
+    day = datetime.date(2020, 1, 1)
+    rows = [(k, "t", day + datetime.timedelta(k), k / 2000, "p" * 300 + f"{k:05d}", k % 2 == 0, datetime.datetime(2020, 1, 1, k % 24)) for k in range(2000)] + [(5000, None, None, None, None, None, None), (5001, "", None, math.nan, "", None, None), (5002, "", None, math.inf, "q", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, day date, share double, name string, odd boolean, at timestamp")
+    for dim in ("day", "share", "name"):
+        have = {r.doc_id: r for r in hilbert.hilbert_shards(docs, [dim], n_shards=8).collect()}
+        assert len(have) == 2003 and len({have[k].curve for k in range(2000)}) >= 14  # cells
+        n = Counter(r.shard for r in have.values())
+        assert max(n.values()) - min(n.values()) <= 1
+        own = [{k * 16 // 2000 for k in range(2000) if have[k].shard == s} for s in range(8)]
+        assert all(len(x) <= 5 for x in own)  # a shard spans few of 16 parts of the dimension
+    assert hilbert.hilbert_shards(docs, ["odd", "at"], n_shards=4).count() == 2003
+    with pytest.raises(ValueError, match="no order"):
+        hilbert.hilbert_shards(docs.withColumn("list", docs.doc_id.cast("string").cast("binary")), ["list"])
+
+
 def test_curve_is_hilbert():
     bits, n = 3, 3
     grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * n, indexing="ij"), axis=-1).reshape(-1, n)
@@ -439,6 +467,14 @@ def test_urls(spark):
         best = max(fits, default=None)
         want.append((k, host, path, best and best[2], best[3] if best else "allow"))
     assert key(got(url_filter.filter_urls(pages, rules, keep=["page_id"]))) == key(want)
+    loud = [(a, h.upper(), p) for a, h, p in rules]
+    for most in (url_filter.MAX_RULES, 0):
+        old, url_filter.MAX_RULES = url_filter.MAX_RULES, most
+        clash = url_filter.filter_urls(pages, loud, keep=["verdict", "host", "page_id"])
+        url_filter.MAX_RULES = old
+        assert clash.columns == ["verdict", "host", "page_id", "host", "path", "rule", "verdict"]
+        plain = [(r[2], r[3], r[4], *([r[5].lower()] if r[5] else [None]), r[6]) for r in clash.collect()]
+        assert key(plain) == key((k, h, p, r.lower() if r else r, v) for k, h, p, r, v in want)
     old, url_filter.MAX_RULES = url_filter.MAX_RULES, 0
     try:
         assert key(got(url_filter.filter_urls(pages, rules, keep=["page_id"]))) == key(want)

@@ -11,9 +11,9 @@ Lines are counted with partial sums in each task, so a host with a third of all
 small before it is dealt; the lines above the limit, and the places where they stand, are written before they are
 joined, so that adaptive execution can split those joins. Without `clean` no text is shuffled.
 
-Defined results: null or empty texts have no words and fail the base rule; a null host is a host of its own; every
-row is a document, so repeated rows count each, and rows that share the least doc_id all keep their lines; a null
-doc_id is not the least unless all are null; texts of any length are one row and are never cut; columns of the input
+Defined results: null or empty texts have no words and fail the base rule; a null host is a host of its own; rows
+that share a doc_id are one document of a host, and a row without one is its own; rows that share the least doc_id all
+keep their lines; a null doc_id is not the least unless all are null; texts of any length are one row and are never cut; columns of the input
 never clash with the operator's own, and the result carries only those asked for. Lines, texts and windows count as
 equal if their 64-bit hashes are.
 """
@@ -69,7 +69,13 @@ def base_metrics(rows: DataFrame, text: str) -> DataFrame:
 def frequent_lines(texts: DataFrame, max_docs: int) -> DataFrame:
     """Host, hash and first document of the lines above the limit. texts: _host, _nohost, _id, _text."""
     keys = F.array_distinct(F.transform(F.filter(normal_lines(F.col("_text")), lambda x: x != ""), lambda x: F.xxhash64(x)))
-    counts = texts.select(*HOST, "_id", F.explode(keys).alias("line")).groupBy(*HOST, "line").agg(F.count("*").alias("n"), F.min("_id").alias("first"))
+    lines = lambda t: t.select(*HOST, "_id", F.explode(keys).alias("line"))
+    counts = lines(texts).groupBy(*HOST, "line").agg(F.count("*").alias("n"), F.min("_id").alias("first"))
+    # rows that share an id are one document: what they count twice is taken off again, which only touches such rows
+    again = kept_table(texts.where("_id is not null").groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id"))
+    if again.limit(1).count():
+        twice = lines(texts.join(again, "_id", "left_semi")).groupBy(*HOST, "line", "_id").agg((F.count("*") - 1).alias("more"))
+        counts = counts.join(twice.groupBy(*HOST, "line").agg(F.sum("more").alias("more")), [*HOST, "line"], "left").withColumn("n", F.col("n") - F.coalesce("more", F.lit(0)))
     return kept_table(counts.where(F.col("n") > max_docs).select(*HOST, "line", "first"))
 
 

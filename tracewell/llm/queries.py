@@ -44,7 +44,7 @@ p AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT
 again AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS k FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM p) WHERE c > 1) GROUP BY r),
 l AS (SELECT r, doc_id, source, raw, regexp_replace(lower(raw), '[0-9\x20\x09\x0B-\x0D]+', '', 'g') AS x, len(list_filter(regexp_split_to_array(raw, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS words
   FROM (SELECT r, doc_id, source, unnest(string_split(t, chr(10))) AS raw FROM d)),
-over_limit AS (SELECT source, x, min(doc_id) AS first FROM (SELECT DISTINCT r, doc_id, source, x FROM l WHERE x <> '') GROUP BY ALL HAVING count(*) > 10),
+over_limit AS (SELECT source, x, min(doc_id) AS first FROM l WHERE x <> '' GROUP BY ALL HAVING count(DISTINCT coalesce('d' || doc_id, 'r' || r)) > 10),
 lost AS (SELECT r, sum(words) AS n FROM l JOIN over_limit o ON o.source IS NOT DISTINCT FROM l.source AND o.x = l.x WHERE first IS DISTINCT FROM doc_id GROUP BY r),
 dup AS (SELECT r, count(*) - count(DISTINCT raw) AS n FROM l WHERE words > 0 GROUP BY r),
 m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
