@@ -6,7 +6,8 @@ share host and path are merged, block before allow.
 
 Defined results: a null url, or one without `://`, has empty host and path and fits no rule; an empty rule list
 gives the default verdict everywhere; rows are never dropped and repeated rows are judged alike; the result has
-only the columns named in `keep` and its own four, so clashing names in the input do no harm.
+only the columns named in `keep` and its own four, and a name of the input may be one of these. A-Z in a rule's host
+count as a-z.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import lower_ascii
+from .support import UPPER, lower_ascii
 
+LOW = str.maketrans(UPPER, UPPER.lower())
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 MAX_RULES = 200_000  #: more rules are joined instead of broadcast
 
@@ -64,10 +66,12 @@ def split_url(url):
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], url: str = "url", keep: Sequence[str] = (), default: str = "allow") -> DataFrame:
     """keep, host, path, rule (null if none fits) and verdict of every row."""
+    rules = [(action, h.translate(LOW), p) for action, h, p in rules]
     host, path = split_url(F.col(url))
-    rows = pages.select(*keep, host.alias("host"), path.alias("path"))
+    rows = pages.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], host.alias("host"), path.alias("path"))
+    names = [F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]  # names of the input may be those of the result
     if len(rules) > MAX_RULES:
-        return _joined(rows, rules, keep, default)
+        return _joined(rows, rules, names, default)
     shared = pages.sparkSession.sparkContext.broadcast(trie(rules))
 
     @F.pandas_udf("rule string, action string")
@@ -78,10 +82,10 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], url: st
             yield pd.DataFrame(found, columns=["rule", "action"], dtype=object)
 
     judged = rows.withColumn("_j", judge("host", "path"))
-    return judged.select(*keep, "host", "path", F.col("_j.rule").alias("rule"), F.coalesce("_j.action", F.lit(default)).alias("verdict"))
+    return judged.select(*names, "host", "path", F.col("_j.rule").alias("rule"), F.coalesce("_j.action", F.lit(default)).alias("verdict"))
 
 
-def _joined(rows: DataFrame, rules: Sequence[tuple[str, str, str]], keep: Sequence[str], default: str) -> DataFrame:
+def _joined(rows: DataFrame, rules: Sequence[tuple[str, str, str]], names: list[Column], default: str) -> DataFrame:
     """For rule lists too long to broadcast: equi-join on rule host, then the longest fitting path."""
     spark = rows.sparkSession
     listed = spark.createDataFrame([(h, p, h + p, a) for a, h, p in rules], "rule_host string, rule_path string, rule string, action string")
@@ -91,4 +95,4 @@ def _joined(rows: DataFrame, rules: Sequence[tuple[str, str, str]], keep: Sequen
     fits = urls.select("host", "path", F.explode(tails).alias("rule_host")).join(listed, "rule_host").where(F.expr("startswith(path, rule_path)"))
     order = F.struct(F.length("rule"), F.length("rule_host"), F.col("action") == "block")
     best = fits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "action"), order).alias("_j"))
-    return rows.join(best, ["host", "path"], "left").select(*keep, "host", "path", F.col("_j.rule").alias("rule"), F.coalesce("_j.action", F.lit(default)).alias("verdict"))
+    return rows.join(best, ["host", "path"], "left").select(*names, "host", "path", F.col("_j.rule").alias("rule"), F.coalesce("_j.action", F.lit(default)).alias("verdict"))
