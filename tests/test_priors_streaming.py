@@ -99,8 +99,8 @@ def test_tables_of_very_many_measurements():
 
 def test_mixture_with_drawn_concentrations(spark):
     rows = spark.range(400).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("group"), "id", (F.col("id") % 2 * 50 + F.col("id") % 5).cast("double").alias("x"))
-    _, kept = hdp.sample(rows, components=4, iterations=6, burn_in=3, thin=2, concentrations=(1.0, 1.0))
-    d = hdp.densities(spark, kept, -20.0, 80.0, 101).groupBy("group").agg(F.max_by("x", "pdf").alias("top")).collect()
+    found = hdp.sample(rows, components=4, iterations=6, burn_in=3, thin=2, concentrations=(1.0, 1.0))
+    d = hdp.densities(spark, *found, -20.0, 80.0, 101).groupBy("group").agg(F.max_by("x", "pdf").alias("top")).collect()
     top = {r["group"]: r["top"] for r in d}
     assert abs(top["a"] - 2) < 5 and abs(top["b"] - 52) < 5
 

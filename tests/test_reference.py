@@ -128,8 +128,8 @@ def test_distances_are_metrics(spark):
 def test_hierarchical_mixture(spark):
     rng = np.random.default_rng(8)
     rows = [(g, i + 1000 * k, float(x)) for k, (g, m) in enumerate((("a", 40), ("b", 60))) for i, x in enumerate(np.r_[rng.normal(m, 2, 150), rng.normal(80, 2, 50)])]
-    _, kept = hdp.sample(spark.createDataFrame(rows, "group string, id long, x double"), components=6, iterations=20, burn_in=10, thin=5)
-    d = hdp.densities(spark, kept, 20.0, 100.0, 161).toPandas()
+    found = hdp.sample(spark.createDataFrame(rows, "group string, id long, x double"), components=6, iterations=20, burn_in=10, thin=5)
+    d = hdp.densities(spark, *found, 20.0, 100.0, 161).toPandas()
     for g, m in (("a", 40), ("b", 60)):
         own = d[d.group == g].sort_values("x")
         assert np.trapezoid(own.pdf, own.x) == pytest.approx(1, abs=0.05)

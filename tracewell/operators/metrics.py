@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
+MAX_DEPTH = 1000  #: of a tree of nodes
 MAX_POINTS = 10_000  #: of a grid that is broadcast
 
 
@@ -68,7 +73,20 @@ def kernel_density(rows: DataFrame, key: str, x: str, grid: DataFrame, width: fl
 
 
 def with_fallback(density: DataFrame, tree: DataFrame) -> DataFrame:
-    """The density of each node, or where it has none that of its nearest ancestor. tree: node, parent, grandparent."""
-    d = lambda name: density.select(F.col("node").alias(name), F.col("value").alias(f"_{name}"))
-    rows = tree.join(d("node"), "node", "left").join(d("parent"), "parent", "left").join(d("grandparent"), "grandparent", "left")
-    return rows.select("node", F.coalesce("_node", "_parent", "_grandparent").alias("value"))
+    """node and value of each node of the tree: its own, or where it has none that of its nearest ancestor, or null without any.
+
+    density: node, value; a null value is none. tree: node, parent, one row a node, of any depth. Each round goes up one
+    level with the nodes that are still without, and is written, so a lost executor costs no more than a round.
+    """
+    values = density.where("value is not null").select(F.col("node").alias("_at"), "value")
+    up = tree.select(F.col("node").alias("_at"), F.col("parent").alias("_up"))
+    left, found = tree.select("node", F.col("node").alias("_at")), []
+    while True:
+        met = left.join(values, "_at", "left")
+        found.append(met.where("value is not null").select("node", "value"))
+        left = written(met.where("value is null").join(up, "_at").select("node", F.col("_up").alias("_at")))
+        if not left.limit(1).count():
+            break
+        if len(found) > MAX_DEPTH:
+            raise ValueError(f"a tree deeper than {MAX_DEPTH}, or one with a cycle")
+    return tree.select("node").join(reduce(DataFrame.unionAll, found), "node", "left")

@@ -13,7 +13,7 @@ from ..functions import sequences as sq
 from ..functions import splines
 from ..operators import anchors, calls, metrics, priors, scaling, windows
 from .projection import MODEL, SEQUENCES, SERIES, K, kmer_model, sequences, series, with_sql
-from . import alignments, coordinates, posteriors  # noqa: F401  register their queries
+from . import alignments, coordinates, mixtures, posteriors  # noqa: F401  register their queries
 from .projection import anchors as anchor_pairs
 from .registry import query, table
 
@@ -241,7 +241,7 @@ def corrected_reference(spark, sf_dir):
 def ancestor_fallback(spark, sf_dir):
     s = series(spark, sf_dir)
     m = kmer_model(s)
-    tree = s.where("kmer is not null").select(F.col("kmer").alias("node"), F.substring("kmer", 1, 1).alias("parent"), F.lit("").alias("grandparent")).distinct()
+    tree = s.where("kmer is not null").select(F.col("kmer").alias("node"), F.substring("kmer", 1, 1).alias("parent")).distinct()
     values = m.where("n >= 90").select(F.col("kmer").alias("node"), r("level_mean", 9).alias("value")).unionAll(m.groupBy(F.substring("kmer", 1, 1).alias("node")).agg(r(F.avg("level_mean"), 9).alias("value")))
     return metrics.with_fallback(values, tree)
 
@@ -527,15 +527,3 @@ def embedding_l2(spark, sf_dir):
     c = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("v"))
     a, b = c.select(F.col("label").alias("a"), "i", F.col("v").alias("va")), c.select(F.col("label").alias("b"), "i", F.col("v").alias("vb"))
     return a.join(b, "i").where("a < b").groupBy("a", "b").agg(r(F.sqrt(F.sum(F.pow(F.col("va") - F.col("vb"), F.lit(2.0)))), 4).alias("l2"))
-
-
-# --- iterative operators: no SQL, tested on their invariants ---------------------------------------------------------
-
-
-@query("hdp_density")
-def hdp_density(spark, sf_dir):
-    from ..operators import hdp
-
-    rows = series(spark, sf_dir).select(F.col("base").alias("group"), F.col("event_id").alias("id"), F.col("mean").alias("x"))
-    _, kept = hdp.sample(rows, components=8, iterations=15, burn_in=5, thin=5)
-    return hdp.densities(spark, kept, 0.0, 500.0, 101)
