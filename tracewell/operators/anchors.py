@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import kmers
+from ..sources.shared import written
 
 
-def monotone(pairs: DataFrame, key: str = "read_id") -> DataFrame:
+def monotone(pairs: DataFrame, key: str | list[str] = "read_id") -> DataFrame:
     """Pairs (x, y) that are in one strict order with all other distinct pairs of their key, both ways."""
-    distinct = pairs.select(key, "x", "y").distinct()
-    before = Window.partitionBy(key).orderBy("x", "y").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(key).orderBy("x", "y").rowsBetween(1, Window.unboundedFollowing)
-    lim = distinct.select("*", F.max("x").over(before).alias("_x0"), F.max("y").over(before).alias("_y0"), F.min("x").over(after).alias("_x1"), F.min("y").over(after).alias("_y1"))
+    keys = [key] if isinstance(key, str) else key
+    distinct = pairs.select(*keys, "x", "y").distinct()
+    before = Window.partitionBy(*keys).orderBy("x", "y").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*keys).orderBy(F.desc("x"), F.desc("y")).rowsBetween(Window.unboundedPreceding, -1)
+    lim = distinct.select("*", F.min("x").over(after).alias("_x1"), F.min("y").over(after).alias("_y1")).select("*", F.max("x").over(before).alias("_x0"), F.max("y").over(before).alias("_y0"))
     keep = F.coalesce((F.col("x") > F.col("_x0")) & (F.col("y") > F.col("_y0")), F.lit(True)) & F.coalesce((F.col("x") < F.col("_x1")) & (F.col("y") < F.col("_y1")), F.lit(True))
-    return lim.where(keep).select(key, "x", "y")
+    return lim.where(keep).select(*keys, "x", "y")
 
 
 def remap(pairs: DataFrame, event_map: DataFrame, key: str = "read_id") -> DataFrame:
@@ -44,6 +46,40 @@ def seeds(a: DataFrame, b: DataFrame, k: int, most: int = 1) -> DataFrame:
     return places(a, "id_a", "x").join(places(b, "id_b", "y"), "kmer").select("id_a", "id_b", "x", "y", "kmer")
 
 
+def recursive_seeds(a: DataFrame, b: DataFrame, ks: list[int], limit: int) -> DataFrame:
+    """id_a, id_b, x, y: anchors by ever shorter k-mers, each k only inside the gaps that the longer ones leave.
+
+    a, b: id, sequence. The first k joins k-mers that both have once, for any two sequences; then gaps of more than
+    `limit` cells between anchors (their ends included) are seeded with the next k, by k-mers that each side of the gap
+    has once. A gap is its places on either side, so work grows with the gaps' lengths. After each k only anchors in one
+    strict order stay, those of longer k-mers first. It ends with the last k, or when no gap is larger than the limit.
+    """
+    pair = ["id_a", "id_b"]
+    found = monotone(seeds(a, b, ks[0]), pair)
+    sizes = lambda t, name, n: t.select(F.col("id").alias(name), F.length("sequence").cast("long").alias(n))
+    for k in ks[1:]:
+        found = written(found)
+        ends = found.select(*pair).distinct().join(sizes(a, "id_a", "x"), "id_a").join(sizes(b, "id_b", "y"), "id_b")
+        by = Window.partitionBy(*pair).orderBy("x", "y")
+        low = lambda c: F.coalesce(F.lag(c).over(by) + 1, F.lit(0))  # noqa: E731, B023
+        gaps = found.unionByName(ends.select(*pair, "x", "y")).select(*pair, low("x").alias("x0"), low("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+        wide = written(gaps.where(((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) > limit) & (F.col("x1") - F.col("x0") >= k) & (F.col("y1") - F.col("y0") >= k)))
+        if not wide.limit(1).count():
+            break
+
+        def inside(t: DataFrame, name: str, at: str, k: int = k, wide: DataFrame = wide) -> DataFrame:
+            """k-mers that one side of a gap has once, with their places."""
+            each = t.select(F.col("id").alias(name), F.posexplode(kmers(F.col("sequence"), k)).alias("_p", "kmer"))
+            places = wide.select(*pair, "x0", "y0", F.explode(F.sequence(F.col(f"{at}0"), F.col(f"{at}1") - k)).alias("_p"))
+            own = places.join(each, [name, "_p"]).groupBy(*pair, "x0", "y0", "kmer").agg(F.min("_p").cast("long").alias(at), F.count("*").alias("_n"))
+            return own.where("_n = 1").drop("_n")
+
+        new = inside(a, "id_a", "x").join(inside(b, "id_b", "y"), [*pair, "x0", "y0", "kmer"])
+        ordered = monotone(new, [*pair, "x0", "y0"])
+        found = found.unionByName(ordered.select(*pair, "x", "y"))
+    return found
+
+
 def split_blocks(pairs: DataFrame, limit: int, key: str = "read_id") -> DataFrame:
     """A block number for each anchor; a new block begins where the gap to the anchor before spans more than `limit` cells."""
     by = Window.partitionBy(key).orderBy("x", "y")

@@ -13,7 +13,7 @@ from ..functions import sequences as sq
 from ..functions import splines
 from ..operators import anchors, calls, metrics, priors, scaling, windows
 from .projection import MODEL, SEQUENCES, SERIES, K, kmer_model, sequences, series, with_sql
-from . import alignments, coordinates, mixtures, posteriors  # noqa: F401  register their queries
+from . import alignments, coordinates, mixtures, posteriors, results  # noqa: F401  register their queries
 from .projection import anchors as anchor_pairs
 from .registry import query, table
 
