@@ -35,7 +35,8 @@ def emission(spark: SparkSession, sf_dir: str) -> hmm.Gaussian:
 
 
 def shown(pairs: DataFrame) -> DataFrame:
-    return pairs.select("read_id", "x", "y", "kmer", F.round("p", 4).alias("p"))
+    """Pairs with p cut to four digits, from its whole number of ten-millionths."""
+    return pairs.select("read_id", "x", "y", "kmer", (F.floor(F.round(F.col("p") * 1e7) / 1000) / 1e4).alias("p"))
 
 
 WHOLE = """
@@ -100,7 +101,7 @@ g AS (
 z AS (SELECT u.read_id, u.block, f.m * CASE WHEN ragged_right THEN {RM} ELSE {MM} END + f.s * CASE WHEN ragged_right THEN {SS} ELSE {SM_} END + f.e * CASE WHEN ragged_right THEN {EE} ELSE {EM} END AS z
   FROM u JOIN f ON f.read_id = u.read_id AND f.block = u.block AND f.d = nx + ny AND f.x = nx)"""
 PAIRS = """
-SELECT c.read_id, c.x0 + c.x - 1 AS x, c.y0 + c.y - 1 AS y, c.kmer, round(floor(least(f.m * g.m / z, 1) * 1e7) / 1e7, 4) AS p
+SELECT c.read_id, c.x0 + c.x - 1 AS x, c.y0 + c.y - 1 AS y, c.kmer, floor(floor(least(f.m * g.m / z, 1) * 1e7) / 1000) / 1e4 AS p
 FROM cell c JOIN f USING (read_id, block, d, x) JOIN g USING (read_id, block, d, x) JOIN z USING (read_id, block) WHERE c.x > 0 AND c.y > 0 AND f.m * g.m / z >= 0.01"""
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
 from ..operators import anchors, blocks, calls, consistency, correction, hmm, outputs
-from .posteriors import PAIRS, emission, hmm_blocks, hmm_sql, parts
+from .posteriors import PAIRS, emission, hmm_blocks, hmm_sql, parts, shown
 from .projection import SEQUENCES, K, kmer_model, sequences, series
 from .registry import query
 
@@ -44,7 +44,7 @@ full_rows AS (
 def aligned(spark: SparkSession, sf_dir: str):
     """What `outputs.full` takes, from the banded alignment of all reads."""
     s = series(spark, sf_dir)
-    pairs = hmm.posteriors(hmm_blocks(spark, sf_dir), emission(spark, sf_dir), width=20).withColumn("p", F.round("p", 4))
+    pairs = shown(hmm.posteriors(hmm_blocks(spark, sf_dir), emission(spark, sf_dir), width=20))
     return pairs, s.select("read_id", F.col("event_index").alias("y"), "mean", "stdv", "duration"), reads_of(s), kmer_model(s), K
 
 
