@@ -106,3 +106,15 @@ def test_correction_recovers_planted_changes(spark):
     wrong = {at for at in have if at[0] < 3 and have[at] != truth[at[0]][at[1]]}
     assert not wrong & {(1, 7), (1, 30), (2, 15)} and len(wrong) <= 2  # (1, 20) has a second explanation with the place before it
     assert have[3, 0] is None and have[3, 1] == "A" and changes[0] >= 2 and sum(changes) >= 3
+
+
+def test_solves(spark):
+    from pyspark.sql import functions as F
+
+    from tracewell.operators import scaling
+
+    a, b = [[4.0, 1.0, 2.0], [1.0, 3.0, 0.5], [2.0, 0.5, 5.0]], [1.0, 2.0, 3.0]
+    lit = lambda m: [lit(x) if isinstance(x, list) else F.lit(x) for x in m]
+    got = spark.range(1).select(*scaling.solve3(lit(a), lit(b)), *scaling.solve2(lit([r[:2] for r in a[:2]]), lit(b[:2])), *scaling.solve2(lit([[1.0, 2.0], [2.0, 4.0]]), lit(b[:2]))).first()
+    assert list(got[:3]) == pytest.approx(np.linalg.solve(a, b).tolist()) and list(got[3:5]) == pytest.approx(np.linalg.solve(np.array(a)[:2, :2], b[:2]).tolist())
+    assert got[5] is None and got[6] is None

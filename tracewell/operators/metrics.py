@@ -62,8 +62,8 @@ def moments(density: DataFrame, key: str) -> DataFrame:
 
 
 def kernel_density(rows: DataFrame, key: str, x: str, grid: DataFrame, width: float) -> DataFrame:
-    """Gaussian kernel estimate at the points of a small grid (grid_ix, x); values are binned to 0.1 first."""
-    binned = rows.groupBy(key, F.round(F.col(x), 1).alias("_v")).agg(F.count("*").alias("_n"))
+    """Gaussian kernel estimate at the points of a small grid (grid_ix, x); equal values are counted once for each point."""
+    binned = rows.groupBy(key, F.col(x).alias("_v")).agg(F.count("*").alias("_n"))
     if grid.limit(MAX_POINTS + 1).count() > MAX_POINTS:  # the grid is a parameter of the call, not data
         raise ValueError(f"more than {MAX_POINTS} grid points")
     points = F.broadcast(grid)

@@ -33,14 +33,18 @@ def scale_shift(rows: DataFrame, key: str = "read_id") -> DataFrame:
 
 
 def scale_shift_drift(rows: DataFrame, key: str = "read_id") -> DataFrame:
-    """shift, scale and drift of mean = shift + scale * level_mean + drift * start, with the same weights."""
-    w = 1 / (F.col("level_sd") * F.col("level_sd"))
-    x, t, y = F.col("level_mean"), F.col("start"), F.col("mean")
-    terms = {"w": w, "wx": w * x, "wt": w * t, "wxx": w * x * x, "wxt": w * x * t, "wtt": w * t * t, "wy": w * y, "wxy": w * x * y, "wty": w * t * y}
-    s = rows.groupBy(key).agg(*[F.sum(e).alias(n) for n, e in terms.items()], F.count("*").alias("n"))
+    """shift, scale and drift of mean = shift + scale * level_mean + drift * start, with the same weights.
+
+    Sums are of distances from each key's weighted means, so that large times do not swallow small effects.
+    """
     c = F.col
-    out = solve3([[c("w"), c("wx"), c("wt")], [c("wx"), c("wxx"), c("wxt")], [c("wt"), c("wxt"), c("wtt")]], [c("wy"), c("wxy"), c("wty")])
-    return s.select(key, "n", *[e.alias(n) for n, e in zip(("shift", "scale", "drift"), out, strict=True)])
+    one = rows.select(key, (1 / (c("level_sd") * c("level_sd"))).alias("w"), c("level_mean").alias("x"), c("start").alias("t"), c("mean").alias("y"))
+    centre = one.groupBy(key).agg(F.count("*").alias("n"), *[(F.sum(c("w") * c(v)) / F.sum("w")).alias(f"m{v}") for v in "xty"])
+    far = {v: c(v) - c(f"m{v}") for v in "xty"}
+    sums = one.join(centre, key).groupBy(key, "n", "mx", "mt", "my").agg(*[F.sum(c("w") * far[p] * far[q]).alias(p + q) for p, q in ("xx", "xt", "tt", "xy", "ty")])
+    scale, drift = solve2([[c("xx"), c("xt")], [c("xt"), c("tt")]], [c("xy"), c("ty")])
+    fit = sums.select("*", scale.alias("scale"), drift.alias("drift"))
+    return fit.select(key, "n", (c("my") - c("scale") * c("mx") - c("drift") * c("mt")).alias("shift"), "scale", "drift")
 
 
 def noise_scale_shift(rows: DataFrame, key: str = "read_id") -> DataFrame:

@@ -355,7 +355,11 @@ def wls_noise(spark, sf_dir):
     return fit.select("read_id", r("shift_sd", 4).alias("shift_sd"), r("scale_sd", 4).alias("scale_sd"))
 
 
-@query("wls_drift")
+@query("wls_drift", SM + """, d AS (SELECT read_id, 1 / (level_sd * level_sd) AS w, level_mean AS x, start / 1e6 AS t, mean AS y FROM series JOIN model USING (kmer)),
+c AS (SELECT read_id, sum(w * x) / sum(w) AS mx, sum(w * t) / sum(w) AS mt, sum(w * y) / sum(w) AS my, count(*) AS n FROM d GROUP BY read_id),
+s AS (SELECT read_id, n, mx, mt, my, sum(w * (x - mx) * (x - mx)) AS xx, sum(w * (x - mx) * (t - mt)) AS xt, sum(w * (t - mt) * (t - mt)) AS tt, sum(w * (x - mx) * (y - my)) AS xy, sum(w * (t - mt) * (y - my)) AS ty FROM d JOIN c USING (read_id) GROUP BY ALL),
+f AS (SELECT *, (xy * tt - xt * ty) / nullif(xx * tt - xt * xt, 0) AS scale, (xx * ty - xy * xt) / nullif(xx * tt - xt * xt, 0) AS drift FROM s)
+SELECT read_id, n, round(my - scale * mx - drift * mt, 3) AS shift, round(scale, 3) AS scale, round(drift, 3) AS drift FROM f""")
 def wls_drift(spark, sf_dir):
     rows = with_model(spark, sf_dir).withColumn("start", F.col("start") / 1e6)
     return scaling.scale_shift_drift(rows).select("read_id", "n", r("shift", 3).alias("shift"), r("scale", 3).alias("scale"), r("drift", 3).alias("drift"))
@@ -375,10 +379,11 @@ def emission_mstep(spark, sf_dir):
     return s.select("kmer", r("u").alias("level_mean"), r(F.sqrt(F.greatest(F.col("q") / F.nullif(F.col("p"), F.lit(0.0)) - F.col("u") * F.col("u"), F.lit(0.0))), 4).alias("level_sd"))
 
 
-@query("indel_probability", S + "SELECT read_id, CAST(x AS BIGINT) AS ref_pos, round(greatest(0, 1 - coalesce(p, 0)), 6) AS p_indel FROM (SELECT DISTINCT read_id FROM series) r CROSS JOIN range(100) t(x) LEFT JOIN (SELECT read_id, ref_pos, sum(posterior) / 2 AS p FROM series GROUP BY ALL) s ON s.read_id = r.read_id AND s.ref_pos = x".replace("SELECT read_id, CAST(x", "SELECT r.read_id, CAST(x"))
+@query("indel_probability", S + ", m AS (SELECT read_id, max(ref_pos) AS top FROM series GROUP BY read_id), spot AS (SELECT read_id, unnest(range(0, top + 1)) AS x FROM m) SELECT r.read_id, CAST(r.x AS BIGINT) AS ref_pos, round(greatest(0, 1 - coalesce(p, 0)), 6) AS p_indel FROM spot r LEFT JOIN (SELECT read_id, ref_pos, sum(posterior) / 2 AS p FROM series GROUP BY ALL) s ON s.read_id = r.read_id AND s.ref_pos = r.x")
 def indel_probability(spark, sf_dir):
+    """What pairs leave of each place of a read's span, from 0 to its last place."""
     s = series(spark, sf_dir)
-    places = s.select("read_id").distinct().withColumn("ref_pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(99).cast("long"))))
+    places = s.groupBy("read_id").agg(F.max("ref_pos").alias("top")).where("top >= 0").select("read_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))).alias("ref_pos"))
     sums = s.groupBy("read_id", "ref_pos").agg((F.sum("posterior") / 2).alias("p"))
     return places.join(sums, ["read_id", "ref_pos"], "left").select("read_id", "ref_pos", r(F.greatest(F.lit(0.0), 1 - F.coalesce("p", F.lit(0.0)))).alias("p_indel"))
 
@@ -496,7 +501,15 @@ def density_trees(spark, sf_dir):
     return out
 
 
-@query("spline_density")
+@query("spline_density", _H.replace("WITH", "WITH RECURSIVE", 1) + """,
+k AS (SELECT base, grid_ix AS i, x, pdf AS y, lead(pdf) OVER w AS up, lag(pdf) OVER w AS down FROM density WINDOW w AS (PARTITION BY base ORDER BY grid_ix)),
+f AS (
+  SELECT base, CAST(0 AS BIGINT) AS i, 0.5::DOUBLE AS c, 3 * (up - y) / 10 / 2 AS d FROM k WHERE i = 0
+  UNION ALL SELECT k.base, k.i, 1 / (CASE WHEN up IS NULL THEN 2 ELSE 4 END - f.c), (3 * (coalesce(up, y) - down) / 10 - f.d) / (CASE WHEN up IS NULL THEN 2 ELSE 4 END - f.c) FROM f JOIN k ON k.base = f.base AND k.i = f.i + 1),
+m AS (SELECT base, i, d AS s FROM f WHERE i = 49 UNION ALL SELECT f.base, f.i, f.d - f.c * m.s FROM m JOIN f ON f.base = m.base AND f.i = m.i - 1),
+e AS (SELECT event_id, base, mean, greatest(least(CAST(floor((mean - 5) / 10) AS BIGINT), 48), 0) AS i FROM series WHERE base IS NOT NULL),
+v AS (SELECT event_id, e.base, (mean - a.x) / 10 AS t, a.y AS p, b.y AS q, ma.s * 10 AS s, mb.s * 10 AS u FROM e LEFT JOIN k a ON a.base = e.base AND a.i = e.i LEFT JOIN k b ON b.base = e.base AND b.i = e.i + 1 LEFT JOIN m ma ON ma.base = e.base AND ma.i = e.i LEFT JOIN m mb ON mb.base = e.base AND mb.i = e.i + 1)
+SELECT event_id, base, round(greatest(CASE WHEN t < 0 THEN p + s * t WHEN t > 1 THEN q + u * (t - 1) ELSE p * (1 + 2 * t) * (1 - t) * (1 - t) + s * t * (1 - t) * (1 - t) + q * t * t * (3 - 2 * t) + u * t * t * (t - 1) END, 0), 9) AS density FROM v""")
 def spline_density(spark, sf_dir):
     """Each event's density on the spline through its base's histogram."""
     s = series(spark, sf_dir).where("base is not null")
@@ -504,10 +517,20 @@ def spline_density(spark, sf_dir):
     return splines.evaluate(s.select("event_id", "base", "mean"), knots, 5.0, 10.0, 50, "base", "mean").select("event_id", "base", r("density", 9).alias("density"))
 
 
-@query("normal_gamma_prior")
+_PSI = "(ln(a + 10) - 0.5 / (a + 10) - 1 / (12 * pow(a + 10, 2)) + 1 / (120 * pow(a + 10, 4)) - 1 / (252 * pow(a + 10, 6)) + 1 / (240 * pow(a + 10, 8)) - (" + " + ".join(f"1 / (a + {i})" for i in range(10)) + "))"
+_PSI1 = "(1 / (a + 10) + 0.5 / pow(a + 10, 2) + 1 / (6 * pow(a + 10, 3)) - 1 / (30 * pow(a + 10, 5)) + 1 / (42 * pow(a + 10, 7)) - 1 / (30 * pow(a + 10, 9)) + " + " + ".join(f"1 / pow(a + {i}, 2)" for i in range(10)) + ")"
+
+
+@query("normal_gamma_prior", SM.replace("WITH", "WITH RECURSIVE", 1) + f""", p AS (SELECT level_mean AS m, 1 / (level_sd * level_sd) AS t FROM model),
+one AS (SELECT count(*) AS n, sum(t * m) / sum(t) AS mu, avg(t) AS mt, avg(ln(t)) AS ml FROM p),
+two AS (SELECT any_value(n) / sum(t * pow(m - mu, 2)) AS nu FROM p, one),
+newton AS (SELECT 0 AS step, ln(mt) - ml AS gap, (3 - (ln(mt) - ml) + sqrt(pow(ln(mt) - ml - 3, 2) + 24 * (ln(mt) - ml))) / (12 * (ln(mt) - ml)) AS a FROM one
+  UNION ALL SELECT step + 1, gap, a - (ln(a) - {_PSI} - gap) / (1 / a - {_PSI1}) FROM newton WHERE step < 20),
+shape AS (SELECT a FROM newton WHERE step = 20)
+SELECT parameter, round(value, 5) AS value FROM (SELECT 'mu' AS parameter, mu AS value FROM one UNION ALL SELECT 'nu', nu FROM two UNION ALL SELECT 'alpha', a FROM shape UNION ALL SELECT 'beta', a / mt FROM shape, one)""")
 def normal_gamma_prior(spark, sf_dir):
     found = priors.normal_gamma_mle(kmer_model(series(spark, sf_dir)))
-    return spark.createDataFrame([(n, float(v)) for n, v in found.items()], "parameter string, value double")
+    return spark.createDataFrame([(n, round(float(v), 5)) for n, v in found.items()], "parameter string, value double")
 
 
 @query("grid_moments", _H + " SELECT base, round(sum(x * pdf * dx), 6) AS expected, round(sum(x * x * pdf * dx) - pow(sum(x * pdf * dx), 2), 4) AS variance FROM (SELECT *, x - lag(x) OVER (PARTITION BY base ORDER BY grid_ix) AS dx FROM density) GROUP BY base")
@@ -516,7 +539,7 @@ def grid_moments(spark, sf_dir):
     return m.select("base", r("expected").alias("expected"), r("variance", 4).alias("variance"))
 
 
-@query("kernel_density", S + ", v AS (SELECT base, round(mean, 1) AS v, count(*) AS n FROM series GROUP BY ALL) SELECT base, CAST(i AS BIGINT) AS grid_ix, round(sum(n * exp(-0.5 * pow((i * 10.0 - v) / 4.0, 2))) / (sum(n) * 4.0 * 2.5066282746310002), 8) AS pdf FROM v, range(50) g(i) GROUP BY base, i")
+@query("kernel_density", S + ", v AS (SELECT base, mean AS v, count(*) AS n FROM series GROUP BY ALL) SELECT base, CAST(i AS BIGINT) AS grid_ix, round(sum(n * exp(-0.5 * pow((i * 10.0 - v) / 4.0, 2))) / (sum(n) * 4.0 * 2.5066282746310002), 8) AS pdf FROM v, range(50) g(i) GROUP BY base, i")
 def kernel_density(spark, sf_dir):
     grid = spark.range(50).select(F.col("id").alias("grid_ix"), (F.col("id") * 10.0).alias("x"))
     return metrics.kernel_density(series(spark, sf_dir), "base", "mean", grid, 4.0).select("base", "grid_ix", r("pdf", 8).alias("pdf"))
