@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
-from ..operators import anchors, blocks, calls, consistency, correction, hmm, outputs
+from ..operators import anchors, calls, consistency, correction, hmm, outputs
+from ..sources import model_files
+from ..sources.shared import shared_folder
 from .posteriors import PAIRS, emission, hmm_blocks, hmm_sql, parts, shown
-from .projection import SEQUENCES, K, kmer_model, sequences, series
+from .projection import SEQUENCES, SERIES, K, kmer_model, sequences, series, with_sql
 from .registry import query
 
 
@@ -123,3 +125,28 @@ def corrected_by_reads(spark, sf_dir):
     reads = kmers.groupBy("read_id").agg((F.max("x") + K).alias("end")).select("read_id", F.col("read_id").alias("contig"), F.lit(0).cast("long").alias("start"), "end")
     fixed, _ = correction.correct(reference, reads, events, marks, emission(spark, sf_dir), K, "ACEGT", steps=(6, 5), width=12)
     return fixed
+
+
+@query("expectation_files", hmm_sql(20, f"""
+, post AS ({PAIRS}), sums AS (SELECT p.kmer, sum(p.p7 / 1e7) AS p, sum(p.p7 / 1e7 * e.mean) AS px, sum(p.p7 / 1e7 * e.mean * e.mean) AS pxx FROM post p JOIN series e ON e.read_id = p.read_id AND e.event_index = p.y GROUP BY p.kmer),
+ab AS (SELECT unnest(['A', 'C', 'E', 'G', 'T']) AS c, unnest(range(5)) AS n), word AS (SELECT a.c || b.c || d.c AS kmer, 25 * a.n + 5 * b.n + d.n AS id FROM ab a, ab b, ab d),
+w AS (SELECT w.id, w.kmer, coalesce(p, 0) AS p, coalesce(px, 0) AS px, coalesce(pxx, 0) AS pxx, coalesce(level_mean, 0) AS m0, coalesce(level_sd, 0) AS m1, coalesce(noise_mean, 0) AS m2, coalesce(noise_sd, 0) AS m3, coalesce(noise_lambda, 0) AS m4 FROM word w LEFT JOIN sums s ON s.kmer = w.kmer LEFT JOIN model m ON m.kmer = w.kmer)
+SELECT item, CAST(i AS BIGINT) AS i, kmer, CASE WHEN item = 'model' THEN round(value, 8) ELSE round(value, 3) END AS value FROM (
+  SELECT 'model' AS item, 5 * id + unnest(range(5)) AS i, kmer, unnest([m0, m1, m2, m3, m4]) AS value FROM w UNION ALL SELECT 'expectation', 2 * id + unnest(range(2)), kmer, unnest([px, pxx]) FROM w
+  UNION ALL SELECT 'posterior', id, kmer, p FROM w UNION ALL SELECT 'observed', id, kmer, CASE WHEN p > 0 THEN 1 ELSE 0 END FROM w)""".replace("round(floor", "round(floor").replace("/ 1000) / 1e4 AS p", "/ 1000) / 1e4 AS p, floor(least(f.m * g.m / z, 1) * 1e7) AS p7")))
+def expectation_files(spark, sf_dir):
+    """The k-mer items of an expectation file that is written from the alignment of all reads and read again."""
+    sums = hmm.expectations(hmm_blocks(spark, sf_dir), emission(spark, sf_dir), hmm.TRANSITIONS, width=20)
+    model = kmer_model(series(spark, sf_dir)).drop("n")
+    path = shared_folder(spark)
+    model_files.write_expectations(model_files.of_sums(sums, model, "all.expectations", LETTERS, K), path, LETTERS, K)
+    rows = model_files.expectations(spark, path).where("kmer is not null")
+    return rows.select("item", "i", "kmer", F.when(F.col("item") == "model", F.round("value", 8)).otherwise(F.round("value", 3)).alias("value"))
+
+
+@query("kmer_value_files", with_sql(SERIES) + "SELECT kmer, mean AS value FROM series WHERE kmer IS NOT NULL AND mean > 0 AND mean < 100")
+def kmer_value_files(spark, sf_dir):
+    """Levels from 0 to 100 of every k-mer, from files of one k-mer each."""
+    path = shared_folder(spark)
+    model_files.write_kmer_values(series(spark, sf_dir).select("kmer", F.col("mean").alias("value")), path)
+    return model_files.kmer_values(spark, path)
