@@ -21,7 +21,7 @@ def r(c: str, digits: int = 6):
 def reads_of(s: DataFrame) -> DataFrame:
     """Each read against its own sequence, with its calibration: scale and shift to the levels of all reads, and its noise."""
     everything = s.agg(F.avg("mean").alias("m"), F.stddev_pop("mean").alias("d"))
-    own = s.groupBy("read_id").agg(F.avg("mean").alias("om"), F.stddev_pop("mean").alias("od"), F.avg("stdv").alias("scale_sd"))
+    own = s.groupBy("read_id").agg(F.avg("mean").alias("om"), F.stddev_pop("mean").alias("od"), F.sqrt(F.avg("stdv")).alias("scale_sd"))
     scale = F.col("od") / F.col("d")
     fitted = own.crossJoin(F.broadcast(everything)).select("read_id", scale.alias("scale"), (F.col("om") - scale * F.col("m")).alias("shift"), "scale_sd")  # one row is broadcast
     strand = F.when(F.col("read_id") % 3 == 0, "c").otherwise("t").alias("strand")
@@ -33,7 +33,7 @@ def reads_of(s: DataFrame) -> DataFrame:
 
 READS = f""", {SEQUENCES},
 every AS (SELECT avg(mean) AS m, stddev_pop(mean) AS d FROM series),
-own AS (SELECT read_id, stddev_pop(mean) / d AS scale, avg(mean) - stddev_pop(mean) / d * m AS shift, avg(stdv) AS scale_sd FROM series, every GROUP BY read_id, m, d),
+own AS (SELECT read_id, stddev_pop(mean) / d AS scale, avg(mean) - stddev_pop(mean) / d * m AS shift, sqrt(avg(stdv)) AS scale_sd FROM series, every GROUP BY read_id, m, d),
 rd AS (SELECT read_id, scale, shift, scale_sd, sequence AS target, CASE WHEN read_id % 3 = 0 THEN 'c' ELSE 't' END AS strand, read_id % 2 = 0 AS forward, 1 + (read_id % 5) / 10.0 AS var, (CASE WHEN read_id % 3 = 0 THEN 'c' ELSE 't' END = 't') = (read_id % 2 = 0) AS along FROM own JOIN seqs USING (read_id)),
 pairs AS ({PAIRS}),
 full_rows AS (
