@@ -83,8 +83,8 @@ def called_cytosines(spark, sf_dir):
     reads = reads_of(s).withColumn("target", F.translate("target", "CE", "XX"))
     rows = outputs.full(pairs, events, reads, kmer_model(s), K).where("forward and strand = 't'")
     sites = outputs.formats.variant_rows(rows).withColumn("forward", F.col("direction") == "forward")
-    shares = calls.site_marginals(sites, "CE", ["ref_pos", "strand", "forward", "read"])
-    return calls.consensus(shares, "CE").select("ref_pos", "depth", r("pC"), r("pE"), "call")
+    shares = calls.site_marginals(sites, LETTERS, ["ref_pos", "strand", "forward", "read"])
+    return calls.consensus(shares, LETTERS).select("ref_pos", "depth", r("pC"), r("pE"), "call")
 
 
 @query("heaviest_chains")
