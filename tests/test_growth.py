@@ -7,8 +7,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tracewell.operators import hmm
-from tracewell.plans import posteriors, projection
+from tracewell.operators import anchors, hmm
+from tracewell.plans import posteriors, projection, results
 
 LETTERS = "ACEGT"
 TYPE = pa.schema([("read_id", pa.int64()), ("block", pa.int64()), ("x0", pa.int64()), ("y0", pa.int64()), ("kmers", pa.list_(pa.list_(pa.string()))), ("events", pa.list_(pa.float64())), ("anchors", pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))), ("ragged_left", pa.bool_()), ("ragged_right", pa.bool_())])
@@ -99,3 +99,20 @@ def test_posteriors_are_summed_in_order(spark, tmp_path):
         random.Random(i).shuffle(rows)
         s = projection.series(spark, events_of(spark, tmp_path / str(i), rows))
         assert [r.posterior for r in s.orderBy("event_index").collect()] == want
+
+
+def test_copies_of_reads_are_members_and_lose_no_anchor(spark, tmp_path):
+    """Anchors of the least ids, given to all copies, are those between all reads; rows follow the reads, not their pairs."""
+    rows = list(made(8, 40, seed=5))
+    first = {(r[2], r[0] // 8): r[3] for r in rows}
+    rows = [(*r[:3], first[r[2] % 4, r[0] // 8] if r[2] % 4 != 1 else first[0, r[0] // 8], *r[4:]) for r in rows]  # 4 to 7 copy 0 to 3; 1 and 5 copy 0 on the other side
+    folder = events_of(spark, tmp_path, rows)
+    found = results.recursive_anchors(spark, folder).collect()
+    s = projection.sequences(projection.series(spark, folder)).selectExpr("read_id as id", "sequence")
+    want = {tuple(r) for r in anchors.recursive_seeds(s.where("id % 2 = 0"), s.where("id % 2 = 1"), [8, 6, 4], 100).collect()}
+    copies = {r.id_b: r.id_a for r in found if r.role == "copy"}
+    assert copies == {4: 0, 6: 2, 5: 1, 7: 3}
+    of = lambda i: [i, *(c for c, a in copies.items() if a == i)]
+    anchored = [tuple(r)[:4] for r in found if r.role == "anchor"]
+    assert {(a, b, x, y) for i, j, x, y in anchored for a in of(i) for b in of(j)} == want
+    assert len(anchored) * 4 == len(want) > 0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import sequences as sq
 from ..operators import anchors, calls, consistency, correction, hmm, outputs
 from ..sources import model_files
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, written
 from .posteriors import PAIRS, emission, hmm_blocks, hmm_sql, parts, shown
 from .projection import SEQUENCES, SERIES, K, kmer_model, sequences, series, with_sql
 from .registry import query
@@ -107,12 +107,26 @@ def merged_columns(spark, sf_dir):
     return consistency.columns(own, near, 0.05)
 
 
+def sequence_classes(s: DataFrame) -> DataFrame:
+    """id, side (parity of the id), sequence and class of every read: the least id of those of its side with its sequence."""
+    own = s.where("read_id is not null").select(F.col("read_id").alias("id"), F.pmod("read_id", F.lit(2)).alias("side"), "sequence")
+    least = own.groupBy("side", "sequence").agg(F.min("id").alias("class"))
+    return own.join(least, ["side", "sequence"]).select("id", "side", "sequence", "class")
+
+
 @query("recursive_anchors")
 def recursive_anchors(spark, sf_dir):
-    """Anchors between each read and the one after it by 8-, 6- and 4-mers, the shorter ones in gaps only; no SQL, tested by hand."""
-    s = sequences(series(spark, sf_dir))
-    left = s.select(F.col("read_id").alias("id"), "sequence")
-    return anchors.recursive_seeds(left.where("id % 2 = 0"), left.where("id % 2 = 1"), [8, 6, 4], 100)
+    """Anchors between reads of even and odd ids by 8-, 6- and 4-mers, the shorter ones in gaps only; no SQL, tested by hand.
+
+    Rows 'anchor' are between the least ids of equal sequences; a row 'copy' says that id_b has the sequence of id_a, of
+    its own side, and so its anchors. Work and rows grow with the links between different sequences.
+    """
+    reads = written(sequence_classes(sequences(series(spark, sf_dir))))
+    side = lambda i: reads.where((F.col("side") == i) & (F.col("id") == F.col("class"))).select("id", "sequence")
+    found = anchors.recursive_seeds(side(0), side(1), [8, 6, 4], 100).select("id_a", "id_b", "x", "y", F.lit("anchor").alias("role"))
+    none = F.lit(None).cast("long")
+    copies = reads.where("id <> class").select(F.col("class").alias("id_a"), F.col("id").alias("id_b"), none.alias("x"), none.alias("y"), F.lit("copy").alias("role"))
+    return found.unionByName(copies)
 
 
 @query("corrected_by_reads")
