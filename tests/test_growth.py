@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tracewell.operators import anchors, hmm
+from tracewell.operators import anchors, correction, hmm
 from tracewell.plans import posteriors, projection, results
 
 LETTERS = "ACEGT"
@@ -116,3 +116,18 @@ def test_copies_of_reads_are_members_and_lose_no_anchor(spark, tmp_path):
     anchored = [tuple(r)[:4] for r in found if r.role == "anchor"]
     assert {(a, b, x, y) for i, j, x, y in anchored for a in of(i) for b in of(j)} == want
     assert len(anchored) * 4 == len(want) > 0
+
+
+def test_blocks_of_a_correction_are_made_once_for_all_registers(spark):
+    """One row a block whatever the step; its letters are opened in place."""
+    reference = spark.createDataFrame([(1, i, b) for i, b in enumerate("ACGTACG")], "contig long, pos long, base string")
+    reads = spark.createDataFrame([(4, 1, 1, 7)], "read_id long, contig long, start long, end long")
+    events = spark.createDataFrame([(4, y, 50.0) for y in range(4)], "read_id long, y long, mean double")
+    marks = spark.createDataFrame([(4, 0, 0)], "read_id long, x long, y long")
+    (row,) = correction.aligned_blocks(reference, reads, events, marks, 3).collect()
+    assert row.kmers == [list("CGT"), list("GTA"), list("TAC"), list("ACG")] and row.start == 1
+    from pyspark.sql import functions as F
+
+    one = spark.sql("select array('A', null, 'C') as b")
+    got = one.select(*[correction.opened(F.col("b"), F.lit(7), F.lit(r), 4, 3, "AC").alias(f"r{r}") for r in range(4)]).first()
+    assert list(got) == [["AAC", "ACC"], ["AA", "AC"], ["AC"], ["AC", "CC"]]
