@@ -205,3 +205,15 @@ def test_counts_beyond_32_bits(tmp_path):
     kneser_ney._merge(1, str(tmp_path), table)
     counts = kneser_ney.get(f"{tmp_path}/pair-0.counts", np.uint64)
     assert sorted(counts.tolist()) == [3, 1 << 33]
+
+
+def test_string_cuts_are_those_of_all_rows(spark):
+    """Quantiles of every row's string, with repeats, where a sample of 4096 would be off."""
+    rows = [(i, f"v{(i * 7919) % 6007:05d}" if i % 3 else "v03000", "one" if i % 50 else None) for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, url string, host string").repartition(5)
+    cuts = hilbert.string_cuts(docs, ["url", "host"], 64)
+    values = sorted(u for _, u, _ in rows)
+    part = lambda x: min((x * 64 + 63) // len(values), 63)
+    first = {v: values.index(v) for v in set(values)}
+    ends = {v: i for i, v in enumerate(values)}
+    assert cuts["url"] == sorted(v for v in first if part(ends[v]) > part(first[v] - 1)) and cuts["host"] == ["one"] and len(cuts["url"]) > 40

@@ -1,9 +1,8 @@
 """Sharding by a Hilbert curve: quantise metadata, sort by curve index, cut runs of equal row counts.
 
 Every dimension is quantised at cut points that `percentile_approx` takes over all rows, so that each has about as
-many rows between any two. Strings are compared whole with the quantiles of a sample of `sample_rows` values (a
-documented bound; it only places the cuts), so that prefixes they share do not matter; numbers, booleans, dates and
-times by their value, with NaN above all. Other types have no order here and raise a ValueError. Rows near on the curve
+many rows between any two. Strings are compared whole with the exact quantiles of all rows' values, so that prefixes
+they share do not matter; numbers, booleans, dates and times by their value, with NaN above all. Other types have no order here and raise a ValueError. Rows near on the curve
 are near in every dimension, hence each shard spans a small box and a file's min/max statistics prune on all of them.
 
 Law: row counts of any two shards differ by one at most; slots are gapless from 0 in curve order. Ties on the curve
@@ -48,26 +47,29 @@ def curve_index(axes: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def string_cuts(docs: DataFrame, columns: list[str], doc_id: str, pieces: int, sample_rows: int) -> dict[str, list[str]]:
-    """Quantiles of the whole strings in a sample by hash of the row's id and value.
+def string_cuts(docs: DataFrame, columns: list[str], pieces: int) -> dict[str, list[str]]:
+    """Quantiles of the whole strings of all rows: each column's values at the k-th of `pieces` equal parts, k from 1 on.
 
-    The hash's limit follows from the number of rows, so the sample has about `sample_rows` distinct (value, hash) of
-    each column, and rows that repeat are one of them with their count. Only the cuts reach the driver.
+    Values are counted once each and sorted over all partitions; a value's rank follows from the rows before its
+    partition and those before it within. Only the counts of partitions and the cuts reach the driver.
     """
     if not columns:
         return {}
-    rows = docs.count()
-    limit = (1 << 62) if rows <= sample_rows else int((1 << 62) * (sample_rows / rows))
-    each = [F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").alias("v"), F.shiftrightunsigned(F.xxhash64(F.col(doc_id), F.col(f"`{c}`")), 2).alias("h")) for c in columns]
-    few = docs.select(F.explode(F.array(*each)).alias("s")).select("s.*").where(F.col("v").isNotNull() & (F.col("h") <= limit))
-    counted = few.groupBy("c", "v", "h").count().groupBy("c", "v").agg(F.sum("count").alias("n"))
-    by = Window.partitionBy("c").orderBy("v")  # of a sample
-    upto = counted.select("c", "v", "n", F.sum("n").over(by).alias("upto"), F.sum("n").over(Window.partitionBy("c")).alias("all"))
-    # the value at the k-th of `pieces` parts, for some k from 1 on
+    each = [F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").alias("v")) for c in columns]
+    values = docs.select(F.explode(F.array(*each)).alias("s")).select("s.*").where("v is not null")
+    counted = values.groupBy("c", "v").agg(F.count("*").alias("n"))
+    placed = cut(counted.repartitionByRange(shards(docs.sparkSession), "c", "v").withColumn("_p", F.spark_partition_id()))
+    before, total = [], dict.fromkeys(columns, 0)
+    for r in sorted(placed.groupBy("c", "_p").agg(F.sum("n").alias("n")).collect()):  # one row a partition, and one more a column
+        before.append((r["c"], r["_p"], total[r["c"]]))
+        total[r["c"]] += r["n"]
+    offsets = docs.sparkSession.createDataFrame([(*x, total[x[0]]) for x in before], "c string, _p int, _from long, all long")
+    by = Window.partitionBy("_p", "c").orderBy("v")
+    upto = placed.join(F.broadcast(offsets), ["c", "_p"]).select("c", "v", "n", "all", (F.col("_from") + F.sum("n").over(by)).alias("upto"))
     part = lambda x: F.floor((x * pieces + pieces - 1) / F.col("all"))
     crossed = F.least(part(F.col("upto") - 1), F.lit(pieces - 1)) > F.least(part(F.col("upto") - F.col("n") - 1), F.lit(pieces - 1))
     found: dict[str, list[str]] = {c: [] for c in columns}
-    for r in upto.where(crossed).select("c", "v").collect():
+    for r in upto.where(crossed).select("c", "v").collect():  # at most `pieces` a column
         found[r["c"]].append(r["v"])
     return {c: sorted(x, key=str.encode) for c, x in found.items()}
 
@@ -88,10 +90,10 @@ def ordinal(c: Column, kind: str, cuts: list[str] | None) -> Column:
     raise ValueError(f"no order for dimensions of type {kind}")
 
 
-def hilbert_shards(docs: DataFrame, dims: list[str], n_shards: int = 16, bits: int = 4, sample_rows: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def hilbert_shards(docs: DataFrame, dims: list[str], n_shards: int = 16, bits: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, curve, shard and slot of every row."""
     kinds = dict(docs.dtypes)
-    cuts_of = string_cuts(docs, [d for d in dims if kinds[d] == "string"], doc_id, 4 << bits, sample_rows)
+    cuts_of = string_cuts(docs, [d for d in dims if kinds[d] == "string"], 4 << bits)
     raw = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
