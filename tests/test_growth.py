@@ -7,8 +7,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tracewell.operators import anchors, correction, hmm
-from tracewell.plans import posteriors, projection, results
+from tracewell.operators import anchors, blocks, correction, hmm
+from tracewell.plans import mixtures, posteriors, projection, results
 
 LETTERS = "ACEGT"
 TYPE = pa.schema([("read_id", pa.int64()), ("block", pa.int64()), ("x0", pa.int64()), ("y0", pa.int64()), ("kmers", pa.list_(pa.list_(pa.string()))), ("events", pa.list_(pa.float64())), ("anchors", pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))), ("ragged_left", pa.bool_()), ("ragged_right", pa.bool_())])
@@ -131,3 +131,12 @@ def test_blocks_of_a_correction_are_made_once_for_all_registers(spark):
     one = spark.sql("select array('A', null, 'C') as b")
     got = one.select(*[correction.opened(F.col("b"), F.lit(7), F.lit(r), 4, 3, "AC").alias(f"r{r}") for r in range(4)]).first()
     assert list(got) == [["AAC", "ACC"], ["AA", "AC"], ["AC"], ["AC", "CC"]]
+
+
+def test_density_posteriors_take_lengths_from_one_pass(spark, tmp_path, monkeypatch):
+    """The blocks are those of the k-mers and events, but their lengths are not joined from both."""
+    folder = events_of(spark, tmp_path, list(made(8, 40)))
+    s = projection.series(spark, folder)
+    want = sorted(posteriors.shown(hmm.posteriors(blocks.read_blocks(*posteriors.parts(s)), hmm.tabulated_emission(mixtures.normal_knots(projection.kmer_model(s), 0.0, 1000.0, 501)), width=20)).collect())
+    monkeypatch.setattr(blocks, "lengths_of", None)
+    assert sorted(mixtures.density_posteriors(spark, folder).collect()) == want and len(want) > 100

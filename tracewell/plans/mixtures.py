@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import splines
 from ..operators import blocks, hdp, hmm, kmeans, metrics, training
 from ..sources.shared import written
-from .posteriors import STATES, parts, shown
+from .posteriors import STATES, hmm_blocks, parts, shown
 from .projection import SERIES, kmer_model, series, with_sql
 from .registry import query
 
@@ -115,7 +115,7 @@ def normal_knots(m: DataFrame, low: float, high: float, points: int) -> DataFram
 def density_posteriors(spark, sf_dir):
     """Pairs from one percent on with tabulated densities as emissions; no SQL, tested to equal the normals' where both are one."""
     s = series(spark, sf_dir)
-    return shown(hmm.posteriors(blocks.read_blocks(*parts(s)), hmm.tabulated_emission(normal_knots(kmer_model(s), 0.0, 1000.0, 501)), width=20))
+    return shown(hmm.posteriors(hmm_blocks(spark, sf_dir), hmm.tabulated_emission(normal_knots(kmer_model(s), 0.0, 1000.0, 501)), width=20))
 
 
 @query("mixture_training")
