@@ -16,10 +16,19 @@ ROWS = 50_000  #: events of a partition, above which a table has more partitions
 BASES = {"click": "A", "error": "C", "purchase": "E", "signup": "G", "view": "T"}
 
 
+def _dealt(spark: SparkSession, ev: DataFrame, rows: DataFrame, *key: str) -> DataFrame:
+    parts = ev.count() // ROWS  # counted from the files' footers
+    return rows.repartition(parts, *key) if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def by_read(spark: SparkSession, ev: DataFrame) -> DataFrame:
     """Events by read, in as many partitions as keep each near ROWS; few events are left to the session's own number."""
-    parts = ev.count() // ROWS  # counted from the files' footers
-    return ev.repartition(parts, "user_id") if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else ev
+    return _dealt(spark, ev, ev, "user_id")
+
+
+def dealt(spark: SparkSession, sf_dir: str, rows: DataFrame, *key: str) -> DataFrame:
+    """Rows by key in as many partitions as the events have: work on few bytes is else coalesced into few long tasks."""
+    return _dealt(spark, table(spark, sf_dir, "events"), rows, *key)
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
