@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import splines
-from ..operators import blocks, hdp, hmm, kmeans, metrics, training
+from ..operators import hdp, hmm, kmeans, metrics, training
 from ..sources.shared import written
 from .posteriors import STATES, hmm_blocks, parts, shown
 from .projection import SERIES, kmer_model, series, with_sql
@@ -122,7 +122,6 @@ def density_posteriors(spark, sf_dir):
 def mixture_training(spark, sf_dir):
     """Transitions and log-likelihood after two rounds of alignment and sampling; no SQL."""
     s = series(spark, sf_dir)
-    kmers, events, marks = parts(s)
-    rows = written(blocks.read_blocks(kmers, events, marks))
-    trans, _, history = training.train(rows, written(events), kmer_model(s), kmer_tree(s), training.Grid(0.0, 1000.0, 251), 2, width=20, components=8, iterations=6, burn_in=3, thin=2)
+    rows = written(hmm_blocks(spark, sf_dir))
+    trans, _, history = training.train(rows, written(parts(s)[1]), kmer_model(s), kmer_tree(s), training.Grid(0.0, 1000.0, 251), 2, width=20, components=8, iterations=6, burn_in=3, thin=2)
     return spark.createDataFrame([(a, b, float(trans[i, j]), history[-1]) for i, a in enumerate(STATES) for j, b in enumerate(STATES)], "from_state string, to_state string, p double, log_likelihood double")
