@@ -150,8 +150,8 @@ SELECT item, CAST(i AS BIGINT) AS i, kmer, CASE WHEN item = 'model' THEN round(v
   UNION ALL SELECT 'posterior', id, kmer, p FROM w UNION ALL SELECT 'observed', id, kmer, CASE WHEN p > 0 THEN 1 ELSE 0 END FROM w)""".replace("round(floor", "round(floor").replace("/ 1000) / 1e4 AS p", "/ 1000) / 1e4 AS p, floor(least(f.m * g.m / z, 1) * 1e7) AS p7")))
 def expectation_files(spark, sf_dir):
     """The k-mer items of an expectation file that is written from the alignment of all reads and read again."""
-    sums = hmm.expectations(hmm_blocks(spark, sf_dir), emission(spark, sf_dir), hmm.TRANSITIONS, width=20)
-    model = kmer_model(series(spark, sf_dir)).drop("n")
+    sums = written(hmm.expectations(hmm_blocks(spark, sf_dir), emission(spark, sf_dir), hmm.TRANSITIONS, width=20))  # read once for each item
+    model = written(kmer_model(series(spark, sf_dir)).drop("n"))
     path = shared_folder(spark)
     model_files.write_expectations(model_files.of_sums(sums, model, "all.expectations", LETTERS, K), path, LETTERS, K)
     rows = model_files.expectations(spark, path).where("kmer is not null")
