@@ -366,6 +366,21 @@ def test_quality_lm_of_a_rare_language(spark):
     assert len(judged) == 4 and all(r.log10_prob < -1 for r in judged)  # without a training text it is 0
 
 
+def test_quality_lm_trains_on_all_trusted_text(spark):
+    """Over 16 MiB of a language's text, and texts larger than that, train whole; the words of some are in no other."""
+    word = lambda i, j: f"{i}x{j}".ljust(1000, "y")
+    rows = [(i, " ".join(word(i, j % 7000) for j in range(9000)), "en") for i in (1, 3, 4)] + [(5, " ".join(word(5, j % 900) for j in range(18_000)), "is"), (8, word(1, 2) + " " + word(3, 4), "en"), (9, word(5, 7), "is")]
+    taught = [r for r in rows if r[0] < 8 and zlib.crc32(str(r[0]).encode()) % 3]
+    assert sum(len(r[1]) for r in taught if r[2] == "en") > 17 << 20 and any(r[2] == "is" for r in taught)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    have = {r.doc_id: r.log10_prob for r in quality_lm.quality_by_perplexity(docs, docs.select("doc_id").where("doc_id < 8")).collect()}
+    split = lambda t: [*t.split(), "</s>"]
+    for lang in ("en", "is"):
+        own = [r for r in rows if r[2] == lang]
+        want = lm_by_hand([split(r[1]) for r in taught if r[2] == lang], [split(r[1]) for r in own])
+        assert np.allclose([have[r[0]] for r in own], [x[4] for x in want])
+
+
 # --- 7
 
 

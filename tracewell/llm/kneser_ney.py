@@ -215,12 +215,13 @@ class Model:
 
     def array(self, name: str, kind) -> np.ndarray:
         """An array of a shard; those used last are let go when too many are held."""
-        found = self.opened.pop(name, None)
+        uri = f"{self.folder}/{name}"
+        found = self.opened.pop(uri, None)
         if found is None:
-            found = get(f"{self.folder}/{name}", np.uint8)
+            found = get(uri, np.uint8)
             while self.opened and (len(self.opened) >= OPEN_FILES or sum(x.nbytes for x in self.opened.values() if not isinstance(x, np.memmap)) > OPEN_BYTES):
                 del self.opened[next(iter(self.opened))]
-        self.opened[name] = found
+        self.opened[uri] = found
         return found.view(kind)
 
     def __getstate__(self):
@@ -284,6 +285,11 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     pairs = docs.select(F.col(text).alias(text)).mapInArrow(count, PAIRS)
     parts = pairs.groupBy("shard").applyInArrow(lambda t: _merge(n, folder, t), WORDS)
     done = parts.groupBy("shard").applyInArrow(lambda t: _words(folder, t), DONE).collect()  # one row a shard
+    return model_of(folder, n, done)
+
+
+def model_of(folder: str, n: int, done: list) -> Model:
+    """The model whose n shards are in the folder, from the rows of DONE."""
     stats = np.sum([np.frombuffer(r["stats"], np.int64) for r in done] or [np.zeros(13, np.int64)], axis=0)
     words, ends, seen, before = stats[:4].tolist()
     d_word = discounts(stats[4:8])

@@ -1,224 +1,134 @@
-"""Quality classifier: per-language Kneser-Ney models of trusted text, sharded count joins, quantile thresholds.
+"""Quality classifier: per-language Kneser-Ney models of all trusted text, sharded in the shared folder, quantile thresholds.
 
-The model is that of `kneser_ney`, one for each language, trained on a bounded sample of the language's trusted
-documents: those that come first in order of a hash of their id, as many as have `train_bytes` bytes of text together
-(a text counts 64 bytes at least, which bounds their number).
-Texts over an eighth of that bound come after all others, the shortest first, so that none of them ends a sample that
-others could fill; a text over the whole bound never trains. So the models' words (with their history totals and continuation counts) are bounded and are broadcast, and with them a bit table of its
-bigrams. Its bigram counts stay a table, dealt by hash.
+The model is that of `kneser_ney`, one for each language, trained on every trusted document of the language that is not
+kept for calibration. Each language has shards in proportion to its trained text, one at least, and the arrays of all
+are counted in one pass: a block's bigrams are dealt by language and shard. Workers map the arrays as `kneser_ney` does
+and score whole texts, each by its own language's model.
 
-Each block of documents sums what needs words only, and sends the bigrams that the bit table lets through to their
-shard, once for all documents of the block that have them; there they are joined to the counts, each with what it adds
-to log p, and the sums of that go back to the block's documents. A frequent bigram is one entry per block.
+Training text is found without a shuffle of all text: a bit table of the trained ids, of `filter_bits` bits at most
+whatever their number, leaves out most other rows, and what it lets through is joined to the ids themselves.
+
+A bound on the training text of each language, `train_bytes`, is taken only if the caller names one: then those train
+that come first in order of a hash of their id, as many as have `train_bytes` bytes of text together (a text counts 64
+bytes at least). Texts over an eighth of that bound come after all others, the shortest first, so that none of them ends
+a sample that others could fill; a text over the whole bound never trains.
 
 Of the trusted documents, those with crc32(doc_id) mod 3 = 0 never train: a language's threshold is the `quantile` of
-their perplexities. A document is kept if its perplexity is not above its language's threshold.
+the perplexities of all of them. A document is kept if its perplexity is not above its language's threshold.
 
 Defined results: a null or empty text is its end only, and is scored like any other; a null language is a language of
 its own; a language with under `min_calibration` calibration documents has no threshold and keeps all, and so does one
-without a training text, whose perplexities are all 1; repeated rows are scored each, and texts of any length whole; without trusted documents everything is kept. Bigrams count as equal if
-48 bits of their hashes are; what one adds is rounded to 24 bits of its logarithm before it is summed.
+without a training text, whose perplexities are all 1; repeated rows are scored each, and texts of any length whole; without trusted documents everything is kept.
 """
 
 from __future__ import annotations
 
-import hashlib
-import pickle
-from collections.abc import Iterator
-from functools import partial
+import uuid
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import batch_of, chunks, mix, packed, table_of, unpacked
-from .kneser_ney import BEGIN, END, discount, discounts, histories, id_remainder, pair_hash, shard_of, tokens
-from .support import cut, freed_shuffles, kept_table, shards_for
+from .kernels import batch_of, chunks
+from .kneser_ney import BLOCK_TOKENS, DONE, PAIRS, WORDS, Model, _merge, _words, deal_pairs, histories, id_remainder, model_of, token_scores, tokens
+from .support import cut, freed_shuffles, shared_dir, shards
 
-DEALT = "shard int, block long, meta binary, docs binary, counts binary, hashes binary"
-SUMS = "block long, meta binary, docs binary, sums binary"
 OUT = "doc_id long, lang string, n_tokens long, log10_prob double"
-BLOCK_BYTES = 2 << 20
-SPARED = np.uint64(16)  #: low bits of bigram hashes that are not sent
+SHARD_BYTES = 128 << 20
 
 
-def language_keys(langs: pa.Array) -> np.ndarray:
-    """A 64-bit value for each row's language."""
+def by_language(langs: pa.Array, ptr: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Each language of a slice, null as empty: its rows, and which tokens are theirs."""
     coded = langs.fill_null("").dictionary_encode()
-    values = [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in coded.dictionary.to_pylist()]
-    return np.array(values, np.uint64)[coded.indices.to_numpy(zero_copy_only=False)]
-
-
-def language_tokens(langs: pa.Array, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens and histories, different for every language, and the pointers to each text's first token."""
-    t, ptr = tokens(buf, off)
-    lang = language_keys(langs)
-    return mix(t ^ np.repeat(lang, np.diff(ptr))), histories(mix(t ^ np.repeat(lang, np.diff(ptr))), ptr, mix(BEGIN ^ lang)), ptr
-
-
-class Words:
-    """The broadcast part of the models: words of all languages in order of hash, totals by language, bigram bits."""
-
-    def __init__(self, table: pa.Table, langs: list[str], bits: np.ndarray, totals: dict):
-        key = table["word"].to_numpy().view(np.uint64)
-        order = np.argsort(key)
-        self.key, self.bits, self.langs = key[order], bits, langs
-        col = lambda c: table[c].to_numpy()[order]
-        lang = np.array([langs.index(x) for x in table["lang"].to_pylist()], np.int64)[order] if len(key) else np.zeros(0, np.int64)
-        d_pair = np.array([totals[x]["d_pair"] for x in langs]).reshape(-1, 3)
-        before = col("before").astype(np.int64)
-        gain, self.floor = np.zeros(len(key)), {}
-        for i, x in enumerate(langs):
-            own, z = lang == i, totals[x]
-            self.floor[int(language_keys(pa.array([x]))[0])] = z["spread"] / (z["words"] + 1)
-            gain[own] = np.maximum(before[own] - discount(before[own], z["d_word"]), 0) / max(z["before"], 1)
-        self.gain, self.total = gain, col("total").astype(np.int64)
-        d = d_pair[lang] if len(key) else np.zeros((0, 3))
-        self.left = np.where(self.total > 0, (d[:, 0] * col("n1") + d[:, 1] * col("n2") + d[:, 2] * col("n3")) / np.maximum(self.total, 1), 1.0)
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    token_codes = np.repeat(codes, np.diff(ptr))
+    for k, lang in enumerate(coded.dictionary.to_pylist()):
+        yield lang, np.flatnonzero(codes == k), token_codes == k
 
-    def at(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        one, where = np.unique(h, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.key, one), max(len(self.key) - 1, 0))
-        hit = self.key[at] == one if len(self.key) else np.zeros(len(one), bool)
-        return at[where], hit[where]
 
-    def maybe(self, h: np.ndarray) -> np.ndarray:
-        slot = h & np.uint64(len(self.bits) * 8 - 1)
-        return (self.bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+def _count(first: dict[str, int], parts: dict[str, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of PAIRS of lang and text, a language's shards numbered from `first` on."""
+    held: dict[str, list] = defaultdict(list)
+    n = 0
 
+    def dealt() -> pa.RecordBatch:
+        rows = []
+        for lang, pairs in held.items():
+            u, w = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            rows += [(first[lang] + s, *rest) for s, *rest in deal_pairs(u, w, parts[lang])]
+        return batch_of(rows, PAIRS)
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, buf, off in chunks(batches):
-        t, u, ptr = language_tokens(batch.column(0), buf, off)
-        langs = batch.column(0).fill_null("").take(pa.array(np.repeat(np.arange(len(off) - 1), np.diff(ptr))))
-        yield pa.RecordBatch.from_arrays([langs, pa.array(u.view(np.int64)), pa.array(t.view(np.int64))], names=["lang", "u", "w"])
-
-
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bigram hashes in place of their words."""
-    for batch in batches:
-        u, w = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(pair_hash(u, w).view(np.int64))], names=["h"])
-
-
-def _worth(words: Words, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What each trained bigram adds to log10 p over what its words alone give. Columns lang, u, w, gain (the discounted count)."""
-    for batch in batches:
-        u, w = (batch.column(i).to_numpy().view(np.uint64) for i in (1, 2))
-        p = np.array([words.floor[int(x)] for x in language_keys(batch.column(0))])
-        at, hit = words.at(w)
-        p[hit] += words.gain[at[hit]]
-        at, _ = words.at(u)  # every history is a word
-        more = np.log10(1 + np.maximum(batch.column(3).to_numpy(), 0) / (words.total[at] * words.left[at] * p))
-        h = pair_hash(u, w) >> SPARED << SPARED
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(more.astype(np.float32))], names=["h", "more"])
-
-
-def train(sample: DataFrame, filter_bits: int) -> tuple[Broadcast, DataFrame]:
-    """Words and bit table (broadcast; their size is bounded by the sample's), and the bigram table: h and what it adds."""
-    pairs = kept_table(sample.select("lang", "text").mapInArrow(lambda it: _pairs(it), "lang string, u long, w long").groupBy("lang", "u", "w").agg(F.count("*").alias("c")))
-    by_u = pairs.groupBy("lang", F.col("u").alias("word")).agg(F.sum("c").alias("total"), *[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2)], F.count_if(F.col("c") > 2).alias("n3"), F.lit(0).cast("long").alias("before"))
-    zero = F.lit(0).cast("long")
-    by_w = pairs.groupBy("lang", F.col("w").alias("word")).agg(zero.alias("total"), zero.alias("n1"), zero.alias("n2"), zero.alias("n3"), F.count("*").alias("before"))
-    words = cut(by_u.unionByName(by_w).groupBy("lang", "word").agg(*[F.sum(c).alias(c) for c in ("total", "n1", "n2", "n3", "before")]))
-    counts = lambda c: [F.count_if(F.col(c) == k).alias(f"{c}{k}") for k in (1, 2, 3, 4)]
-    totals: dict = {}
-    for r in words.groupBy("lang").agg(F.sum("before").alias("all"), F.count_if(F.col("before") > 0).alias("words"), F.count_if(F.col("before") > 2).alias("many"), *counts("before")).collect():  # one row a language
-        d = discounts(np.array([r[f"before{k}"] for k in (1, 2, 3, 4)]))
-        totals[r["lang"]] = {"before": r["all"], "words": r["words"], "d_word": d, "spread": (d[0] * r["before1"] + d[1] * r["before2"] + d[2] * r["many"]) / max(r["all"], 1)}
-    for r in pairs.groupBy("lang").agg(*counts("c")).collect():
-        totals[r["lang"]]["d_pair"] = discounts(np.array([r[f"c{k}"] for k in (1, 2, 3, 4)]))
-    langs = sorted(totals)
-    d = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.array(*[F.lit(float(v)) for v in totals[lang]["d_pair"]]))]) if langs else F.create_map(F.lit(""), F.array(F.lit(0.0)))
-    gain = F.col("c") - F.element_at(F.element_at(d, F.col("lang")), F.least(F.col("c"), F.lit(3)).cast("int"))
-    counted = pairs.select("u", "w").mapInArrow(lambda it: _hashed(it), "h long")
-    slot = F.col("h").bitwiseAND(F.lit(filter_bits - 1))
-    masks = counted.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("m"))
-    with freed_shuffles(sample.sparkSession):
-        found = masks.select("w", "m").toArrow()  # filter_bits / 64 rows at most
-    bits = np.zeros(filter_bits // 64, np.int64)
-    bits[found["w"].to_numpy()] = found["m"].to_numpy()
-    bits = bits.view(np.uint8)
-    shared = sample.sparkSession.sparkContext.broadcast(Words(words.toArrow(), langs, bits, totals))
-    return shared, pairs.select("lang", "u", "w", gain.cast("double").alias("gain")).mapInArrow(lambda it: _worth(shared.value, it), "h long, more float")
-
-
-def _deal(n: int, words: Words, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Scores blocks by words alone, and deals the bigrams that may have counts."""
-    press = zstandard.ZstdCompressor(level=1)
-    for block, (batch, buf, off) in enumerate(chunks(batches, limit=BLOCK_BYTES), TaskContext.get().partitionId() << 32):
-        t, u, ptr = language_tokens(batch.column(1), buf, off)
-        floor = np.array([words.floor.get(int(x), 1.0) for x in language_keys(batch.column(1))])
-        at, hit = words.at(t)
-        p = np.repeat(floor, np.diff(ptr))
-        p[hit] += words.gain[at[hit]]
-        at, hit = words.at(u)
-        p[hit] *= words.left[at[hit]]
-        base = np.add.reduceat(np.log10(p), ptr[:-1])
-        h = pair_hash(u, t)
-        some = np.flatnonzero(hit & words.maybe(h))
-        doc = np.repeat(np.arange(len(off) - 1), np.diff(ptr))[some]
-        order = np.argsort(h[some], kind="stable")
-        h, doc = h[some][order] >> SPARED, doc[order]
-        one = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-        ends = np.searchsorted(shard_of(h[one] << SPARED, n), np.arange(n + 1))
-        rows = np.append(one, len(h))
-        ids = batch.column(0)
-        meta = pickle.dumps((ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False), batch.column(1).to_pylist(), np.diff(ptr), base))
-        out, own = [], ((block >> 32) * 7919 + block % (1 << 32)) % n
-        for s in range(n):
-            a, b = ends[s], ends[s + 1]
-            if a < b or s == own:
-                out.append((s, block, meta if s == own else None, press.compress(packed(doc[rows[a] : rows[b]])), press.compress(packed(np.diff(rows[a : b + 1]))), _deltas(h[one[a:b]], press)))
-        yield batch_of(out, DEALT)
-
-
-def _deltas(h: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
-    """Rising values as the first, in eight bytes, and the steps byte by byte: all first bytes, all second ones and so on.
-
-    A few wide steps thus cost their own bytes only, since the planes that are nearly all zeros shrink to nothing.
-    """
-    if not len(h):
-        return b""
-    steps = np.diff(h).astype("<u8").view(np.uint8).reshape(-1, 8)
-    return h[:1].tobytes() + press.compress(np.ascontiguousarray(steps.T).tobytes())
-
-
-def _undo(x: bytes, undo: zstandard.ZstdDecompressor) -> np.ndarray:
-    if not x:
-        return np.zeros(0, np.uint64)
-    steps = np.frombuffer(undo.decompress(x[8:]), np.uint8).reshape(8, -1)
-    return np.cumsum(np.append(np.frombuffer(x[:8], np.uint64), np.ascontiguousarray(steps.T).view("<u8").ravel().astype(np.uint64)), dtype=np.uint64)
-
-
-def _join(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Joins a shard's dealt bigrams to its counts; sums what those add to log10 p by block and document."""
-    key = right["h"].to_numpy().view(np.uint64) >> SPARED
-    order = np.argsort(key)
-    key, gain = key[order], right["more"].to_numpy()[order]
-    out, undo = [], zstandard.ZstdDecompressor()
-    for block, meta, docs, counts, hashes in zip(*(left[c].to_pylist() for c in ("block", "meta", "docs", "counts", "hashes")), strict=True):
-        h, docs, counts = _undo(hashes, undo), unpacked(undo.decompress(docs)), unpacked(undo.decompress(counts))
-        at = np.minimum(np.searchsorted(key, h), max(len(key) - 1, 0))
-        more = np.zeros(len(h))
-        if len(key):
-            hit = key[at] == h
-            more[hit] = gain[at[hit]]
-        sums = np.bincount(docs, np.repeat(more, counts), 1)
-        some = np.flatnonzero(sums)
-        out.append((block, meta, packed(some), sums[some].tobytes()))
-    return table_of(out, SUMS)
-
-
-def _total(table: pa.Table) -> pa.Table:
-    ids, valid, langs, n, total = pickle.loads(next(m for m in table["meta"].to_pylist() if m is not None))
-    total = total.copy()
-    for docs, sums in sorted(zip(table["docs"].to_pylist(), table["sums"].to_pylist(), strict=True)):  # one order of adding, always
-        total[unpacked(docs)] += np.frombuffer(sums)
-    return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=~valid), "lang": pa.array(langs, pa.string()), "n_tokens": n.astype(np.int64), "log10_prob": total})
+        t, ptr = tokens(buf, off)
+        u = histories(t, ptr)
+        for lang, _, own in by_language(batch.column(0), ptr):
+            held[lang].append((u[own], t[own]))
+        n += len(t)
+        if n >= BLOCK_TOKENS:
+            yield dealt()
+            held.clear()
+            n = 0
+    if n:
+        yield dealt()
+
+
+def _own_shard(firsts: list[int], step: Callable[[int, pa.Table], pa.Table], table: pa.Table) -> pa.Table:
+    """A step of one model's shard on a shard of all models; `step` is given the model's number."""
+    model = bisect_right(firsts, table["shard"][0].as_py()) - 1
+    moved = lambda t, by: t.set_column(0, "shard", pa.array(t["shard"].to_numpy() + by, pa.int32()))
+    return moved(step(model, moved(table, -firsts[model])), firsts[model])
+
+
+def train(docs: DataFrame, sizes: dict[str, int], n: int) -> dict[str, Model]:
+    """A model for each language over all rows of docs (lang without nulls, text), in n shards or a few more; sizes: each language's bytes."""
+    langs = sorted(sizes)
+    parts = {lang: max(1, -(-n * sizes[lang] // max(sum(sizes.values()), 1))) for lang in langs}
+    first = dict(zip(langs, np.cumsum([0, *parts.values()]).tolist(), strict=False))
+    firsts, ns = [first[x] for x in langs], [parts[x] for x in langs]
+    base = f"{shared_dir(docs.sparkSession).rstrip('/')}/lm-{uuid.uuid4().hex}"
+    pairs = docs.select("lang", "text").mapInArrow(lambda it: _count(first, parts, it), PAIRS)
+    merged = pairs.groupBy("shard").applyInArrow(lambda t: _own_shard(firsts, lambda i, x: _merge(ns[i], f"{base}/{i}", x), t), WORDS)
+    with freed_shuffles(docs.sparkSession):
+        done = merged.groupBy("shard").applyInArrow(lambda t: _own_shard(firsts, lambda i, x: _words(f"{base}/{i}", x), t), DONE).collect()  # one row a shard
+    own: dict[int, list] = defaultdict(list)
+    for r in done:
+        i = bisect_right(firsts, r["shard"]) - 1
+        own[i].append(r.asDict() | {"shard": r["shard"] - firsts[i]})
+    return {langs[i]: model_of(f"{base}/{i}", ns[i], rows) for i, rows in own.items()}
+
+
+def score(docs: DataFrame, models: dict[str, Model]) -> DataFrame:
+    """doc_id, lang, n_tokens and log10_prob of every row of docs (doc_id, lang, text); log10_prob is 0 without a model."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, opened = shared.value, {}
+        for model in models.values():
+            model.opened = opened  # the bound on what is held is one for all
+        for batch, buf, off in chunks(batches):
+            t, ptr = tokens(buf, off)
+            n, total = np.diff(ptr), np.zeros(len(off) - 1)
+            for lang, rows, own in by_language(batch.column(1), ptr):
+                if lang in models:
+                    own_ptr = np.append(0, np.cumsum(n[rows]))
+                    total[rows] = np.add.reduceat(token_scores(models[lang], t[own], own_ptr)[0], own_ptr[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(total)], names=[f.split()[0] for f in OUT.split(", ")])
+
+    return docs.select("doc_id", "lang", "text").mapInArrow(run, OUT)
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, filter_bits: int) -> DataFrame:
+    """The rows whose doc_id is among the ids (distinct, not null). A bit table goes first, so that few other rows are shuffled."""
+    slot = F.xxhash64("doc_id").bitwiseAND(F.lit(filter_bits - 1))
+    bit = F.expr("shiftleft(1L, cast(_s & 63 as int))")
+    table = ids.select(slot.alias("_s")).groupBy(F.shiftright("_s", 6).alias("_w")).agg(F.bit_or(bit).alias("_m"))  # filter_bits / 64 rows at most
+    likely = rows.withColumn("_s", slot).withColumn("_w", F.shiftright("_s", 6)).join(F.broadcast(table), "_w").where(F.col("_m").bitwiseAND(bit) != 0)
+    # an inner join, since Spark would put a semi join before the bit table; merged at every size, so that disk grows as the input does
+    return likely.select(*rows.columns).join(ids.hint("merge"), "doc_id").select(*rows.columns)
 
 
 def training_sample(candidates: DataFrame, train_bytes: int) -> DataFrame:
@@ -237,23 +147,27 @@ def training_sample(candidates: DataFrame, train_bytes: int) -> DataFrame:
     return first.withColumn("sum", F.sum("size").over(order)).where(F.col("sum") <= train_bytes).select("_l", "doc_id")
 
 
-def quality_by_perplexity(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, train_bytes: int = 16 << 20, min_calibration: int = 5, filter_bits: int = 1 << 25, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def quality_by_perplexity(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, train_bytes: int | None = None, min_calibration: int = 5, filter_bits: int = 1 << 25, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, lang, n_tokens, log10_prob, perplexity, threshold and kept of every row; trusted: the doc_id of trusted documents."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    named = F.coalesce("lang", F.lit(""))
     good = trusted.select(F.col(doc_id).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     holds = id_remainder(F.col("doc_id"), 3) == 0
-    sizes = rows.select("doc_id", F.coalesce("lang", F.lit("")).alias("_l"), F.octet_length("text").alias("size"), F.xxhash64("doc_id").alias("rank"))
-    chosen = training_sample(good.where(~holds).join(sizes, "doc_id"), train_bytes)
-    shared, pairs = train(rows.withColumn("_l", F.coalesce("lang", F.lit(""))).join(F.broadcast(chosen), ["_l", "doc_id"], "left_semi"), filter_bits)
-
-    n = shards_for(docs, text, 256 << 20)
-    dealt = rows.mapInArrow(lambda it: _deal(n, shared.value, it), DEALT)
-    high = F.shiftrightunsigned("h", 32)
-    counts = pairs.withColumn("shard", F.shiftright(high * n, 32).cast("int"))
-    sums = dealt.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(lambda a, b: _join(a, b), SUMS)
-    scored = cut(sums.groupBy("block").applyInArrow(lambda t: _total(t), OUT).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("log10_prob") / F.col("n_tokens"))))
-    calibration = scored.where(holds).join(good, "doc_id", "left_semi").groupBy(F.coalesce("lang", F.lit("")).alias("_l"))
-    trained = F.col("_l").isin(*shared.value.langs) if shared.value.langs else F.lit(False)
+    ids = cut(good.where(~holds))
+    sizes = rows.select("doc_id", named.alias("_l"), F.octet_length("text").alias("size"), F.xxhash64("doc_id").alias("rank")).join(ids, "doc_id")
+    texts = rows.withColumn("_l", named)
+    if train_bytes is None:
+        taught = with_ids(texts, ids, filter_bits)
+    else:
+        chosen = cut(training_sample(sizes, train_bytes))
+        taught, sizes = texts.join(F.broadcast(chosen), ["_l", "doc_id"], "left_semi"), sizes.join(F.broadcast(chosen), ["_l", "doc_id"], "left_semi")
+    of = {r["_l"]: r["size"] for r in sizes.groupBy("_l").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size")).collect()}  # one row a language
+    n = shards(docs.sparkSession, sum(of.values()) // SHARD_BYTES)
+    models = train(taught.select(F.col("_l").alias("lang"), "text"), of, n) if of else {}
+
+    scored = cut(score(rows, models).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("log10_prob") / F.col("n_tokens"))))
+    calibration = scored.where(holds).join(good, "doc_id", "left_semi").groupBy(named.alias("_l"))
+    trained = F.col("_l").isin(*models) if models else F.lit(False)
     limits = calibration.agg(F.percentile_approx("perplexity", quantile, 10000).alias("threshold"), F.count("*").alias("n")).where((F.col("n") >= min_calibration) & trained).drop("n")
-    judged = scored.withColumn("_l", F.coalesce("lang", F.lit(""))).join(limits, "_l", "left").drop("_l")
+    judged = scored.withColumn("_l", named).join(limits, "_l", "left").drop("_l")
     return judged.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
