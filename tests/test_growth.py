@@ -140,3 +140,18 @@ def test_density_posteriors_take_lengths_from_one_pass(spark, tmp_path, monkeypa
     want = sorted(posteriors.shown(hmm.posteriors(blocks.read_blocks(*posteriors.parts(s)), hmm.tabulated_emission(mixtures.normal_knots(projection.kmer_model(s), 0.0, 1000.0, 501)), width=20)).collect())
     monkeypatch.setattr(blocks, "lengths_of", None)
     assert sorted(mixtures.density_posteriors(spark, folder).collect()) == want and len(want) > 100
+
+
+@pytest.mark.parametrize("name", ["aligned_assignments", "aligned_marginals", "forward_backward_posteriors", "read_likelihoods"])
+def test_alignments_share_the_bounded_step(spark, tmp_path, monkeypatch, name):
+    """Lengths from one pass and partitions by the number of events, with the rows that the joined lengths give."""
+    folder, module = events_of(spark, tmp_path, list(made(8, 40))), results if name.startswith("aligned") else posteriors
+    s, once = projection.series(spark, folder), posteriors.lengths
+    with monkeypatch.context() as m:
+        m.setattr(posteriors, "lengths", lambda s: blocks.lengths_of(*posteriors.parts(s)[:2]))
+        want = sorted(getattr(module, name)(spark, folder).collect())
+    assert sorted(once(s).collect()) == sorted(blocks.lengths_of(*posteriors.parts(s)[:2]).collect())
+    monkeypatch.setattr(projection, "ROWS", 40)
+    monkeypatch.setattr(blocks, "lengths_of", None)
+    assert projection.series(spark, folder).rdd.getNumPartitions() == 8
+    assert sorted(getattr(module, name)(spark, folder).collect()) == want and len(want) >= 8
