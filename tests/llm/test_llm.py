@@ -584,6 +584,57 @@ def test_clusters_of_several_classes(spark):
         assert key(map(tuple, parity_join.jaccard_components(docs, tile_sets=tile).collect())) == key(want)
 
 
+def test_loose_texts_of_one_block_are_not_tiled(spark, monkeypatch):
+    """Texts that one passage chains into a cluster of many tiles leave it before sets are sent there; links stay."""
+    import random
+
+    r = random.Random(12)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join(passage + [f"w{r.randrange(10**6)}" for _ in range(80 + k % 40)]) for k in range(60)]
+    for k in range(8):
+        words = texts[k].split()
+        words[-1] = "other"
+        texts.append(" ".join(words))
+    rows, seen, tiles_of = list(enumerate(texts)), [], parity_join.tiles_of
+
+    def spy(wanted, tile_sets, tile_shingles):
+        seen.append(sorted(x["count"] for x in wanted.groupBy("label").count().collect()))
+        return tiles_of(wanted, tile_sets, tile_shingles)
+
+    monkeypatch.setattr(parity_join, "tiles_of", spy)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert key(map(tuple, parity_join.jaccard_components(docs, tile_sets=4).collect())) == key(components_by_hand(rows, 85, 4))
+    assert seen[0][-1] > 20 and seen[1][-1] <= 4
+
+
+def test_near_sets_of_buckets_by_brute_force():
+    """Groups are those of all pairs of a bucket, whatever its size, that share enough; a bucket's members may repeat elsewhere."""
+    rng = np.random.default_rng(5)
+    bases = [rng.integers(0, 1 << 62, n).astype(np.uint64) for n in (30, 90, 400, 1500)]
+    sets = []
+    for base in bases:
+        for k in range(25):
+            cut = len(base) * (k % 5) // 12
+            sets.append(np.unique(np.append(base[: len(base) - cut], rng.integers(0, 1 << 62, k % 3).astype(np.uint64))))
+    size = np.array([len(x) for x in sets])
+    words = parity_join.widths(size)
+    flat = parity_join.sketches(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]))
+    buckets = [rng.choice(len(sets), n, replace=False) for n in (2, 2, 3, 5, 16, 17, 40, 5)] + [np.arange(50, 75)]
+    known = parity_join.Sketched(size, flat, np.cumsum(words) - words, 85)
+    known.buckets(np.concatenate(buckets), np.concatenate([[0], np.cumsum([len(b) for b in buckets])]))
+    want = list(range(len(sets)))
+    for b in buckets:
+        for i in b:
+            for j in b:
+                if known.near(np.array([i]), np.array([j]))[0]:
+                    want = [want[i] if x == want[j] else x for x in want]
+                common = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * common >= 85 * (size[i] + size[j] - common):
+                    assert want[i] == want[j]
+    groups = lambda label: {tuple(np.flatnonzero(np.array(label) == x)) for x in set(label)}
+    assert groups(known.label.tolist()) == groups(want) and 30 < len(groups(want)) < len(sets)
+
+
 def test_bands_lose_no_pair():
     r = np.random.default_rng(5)
     bands = parity_join.Bands(85)
