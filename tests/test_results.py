@@ -78,6 +78,29 @@ def test_recursive_seeds(spark):
     assert len(seeds_by_hand(*pairs[0][1:], [12, 6, 4], 30)) > len(seeds_by_hand(*pairs[0][1:], [12], 30))
 
 
+def test_recursive_seeds_by_tiles(spark, monkeypatch):
+    """Whatever meets in a task, and however much at once, the anchors are those of each pair; only tiles are shuffled."""
+    from tracewell.operators import seeding
+
+    r = random.Random(9)
+    text = lambda n: "".join(r.choice("ACGTE") for _ in range(n))
+    core = [text(12) for _ in range(5)]
+    some = lambda n: [(i, "" if i == 3 else "".join(r.choice(core) + text(r.randrange(12)) for _ in range(r.randrange(1, 5)))) for i in range(n)]
+    a, b = some(14), some(11)
+    want = sorted((i, j, x, y) for i, s in a for j, t in b for x, y in seeds_by_hand(s, t, [8, 6, 4], 20))
+    left, right = (seeding.Tile(np.array([i for i, _ in t]), [s for _, s in t]) for t in (a, b))
+    for limits in ((1 << 19, 1 << 22), (1, 1), (30, 500)):
+        monkeypatch.setattr(seeding, "MATCHES", limits[0])
+        monkeypatch.setattr(seeding, "PLACES", limits[1])
+        parts = list(seeding.tile_pairs(left, right, [8, 6, 4], 20))
+        assert sorted(p for z in parts for p in zip(*(c.tolist() for c in z), strict=True)) == want and (len(parts) > 1) == (limits[0] < 100)
+    monkeypatch.setattr(anchors, "TILE", 60)
+    frames = [spark.createDataFrame([*t, (99, None)], "id long, sequence string") for t in (a, b)]
+    found = anchors.recursive_seeds(*frames, [8, 6, 4], 20)
+    assert sorted(map(tuple, found.collect())) == want and len({w[:2] for w in want}) > 50
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_correction_recovers_planted_changes(spark):
     rng = np.random.default_rng(3)
     k, letters = 3, "ACGT"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import kmers
-from ..sources.shared import written
+from .seeding import seeded
 
 
 def monotone(pairs: DataFrame, key: str | list[str] = "read_id") -> DataFrame:
@@ -46,38 +46,34 @@ def seeds(a: DataFrame, b: DataFrame, k: int, most: int = 1) -> DataFrame:
     return places(a, "id_a", "x").join(places(b, "id_b", "y"), "kmer").select("id_a", "id_b", "x", "y", "kmer")
 
 
+TILE = 1 << 19  #: letters of one side of a tile
+PAIRS = "id_a long, id_b long, x long, y long"
+
+
+def tiles(t: DataFrame, number: int) -> DataFrame:
+    """One row a tile: its number and its sequences."""
+    rows = t.where("sequence is not null").select(F.pmod(F.xxhash64("id"), F.lit(number)).cast("int").alias("tile"), F.struct(F.col("id").cast("long").alias("id"), "sequence").alias("s"))
+    return rows.groupBy("tile").agg(F.collect_list("s").alias("s"))
+
+
 def recursive_seeds(a: DataFrame, b: DataFrame, ks: list[int], limit: int) -> DataFrame:
     """id_a, id_b, x, y: anchors by ever shorter k-mers, each k only inside the gaps that the longer ones leave.
 
     a, b: id, sequence. The first k joins k-mers that both have once, for any two sequences; then gaps of more than
     `limit` cells between anchors (their ends included) are seeded with the next k, by k-mers that each side of the gap
-    has once. A gap is its places on either side, so work grows with the gaps' lengths. After each k only anchors in one
-    strict order stay, those of longer k-mers first. It ends with the last k, or when no gap is larger than the limit.
+    has once. After each k only anchors in one strict order stay, those of longer k-mers first. A pair ends with the last
+    k, or when it has no gap larger than the limit.
+
+    Both tables are cut into tiles, and each two tiles meet in one row, some sequences of `a` at a time. What is between
+    the first seeds and the last anchors never leaves the task, so only the tiles are shuffled: each side as many times
+    as the other has tiles.
     """
-    pair = ["id_a", "id_b"]
-    found = monotone(seeds(a, b, ks[0]), pair)
-    sizes = lambda t, name, n: t.select(F.col("id").alias(name), F.length("sequence").cast("long").alias(n))
-    for k in ks[1:]:
-        found = written(found)
-        ends = found.select(*pair).distinct().join(sizes(a, "id_a", "x"), "id_a").join(sizes(b, "id_b", "y"), "id_b")
-        by = Window.partitionBy(*pair).orderBy("x", "y")
-        low = lambda c: F.coalesce(F.lag(c).over(by) + 1, F.lit(0))  # noqa: E731, B023
-        gaps = found.unionByName(ends.select(*pair, "x", "y")).select(*pair, low("x").alias("x0"), low("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-        wide = written(gaps.where(((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) > limit) & (F.col("x1") - F.col("x0") >= k) & (F.col("y1") - F.col("y0") >= k)))
-        if not wide.limit(1).count():
-            break
-
-        def inside(t: DataFrame, name: str, at: str, k: int = k, wide: DataFrame = wide) -> DataFrame:
-            """k-mers that one side of a gap has once, with their places."""
-            each = t.select(F.col("id").alias(name), F.posexplode(kmers(F.col("sequence"), k)).alias("_p", "kmer"))
-            places = wide.select(*pair, "x0", "y0", F.explode(F.sequence(F.col(f"{at}0"), F.col(f"{at}1") - k)).alias("_p"))
-            own = places.join(each, [name, "_p"]).groupBy(*pair, "x0", "y0", "kmer").agg(F.min("_p").cast("long").alias(at), F.count("*").alias("_n"))
-            return own.where("_n = 1").drop("_n")
-
-        new = inside(a, "id_a", "x").join(inside(b, "id_b", "y"), [*pair, "x0", "y0", "kmer"])
-        ordered = monotone(new, [*pair, "x0", "y0"])
-        found = found.unionByName(ordered.select(*pair, "x", "y"))
-    return found
+    size = lambda t: t.agg(F.sum(F.length("sequence"))).first()[0] or 0
+    n_a, n_b = (max(-(-n // TILE), min(8, -(-n // 4096)), 1) for n in (size(a), size(b)))
+    sides = [tiles(a, n_a).select(F.col("tile").alias("t"), F.col("s").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))).alias("u")), tiles(b, n_b).select(F.col("tile").alias("u"), F.col("s").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n_a - 1))).alias("t"))]
+    parts = min(n_a * n_b, max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_a * n_b // 4))
+    pairs = sides[0].join(sides[1], ["t", "u"]).select("a", "b").repartition(parts)  # else few bytes, but much work, come together in one task
+    return pairs.mapInArrow(lambda batches: seeded(batches, ks, limit), PAIRS)
 
 
 def split_blocks(pairs: DataFrame, limit: int, key: str = "read_id") -> DataFrame:
