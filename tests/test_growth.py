@@ -155,3 +155,16 @@ def test_alignments_share_the_bounded_step(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(blocks, "lengths_of", None)
     assert projection.series(spark, folder).rdd.getNumPartitions() == 8
     assert sorted(getattr(module, name)(spark, folder).collect()) == want and len(want) >= 8
+
+
+def test_ties_are_rounded_as_the_sql_rounds_them(spark):
+    """Seventh digits of 5, which the scaled double may hold from below; Spark's own rounding differs in some."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from tracewell.plans import alignments
+
+    ties = [(2 * k + 1) / d for d in (128, 640, 3200, 16000, 2_000_000) for k in range(60)] + [0.0653125, 0.0648125, -0.0653125, 0.0, 1e12 + 0.5]
+    want = [x for (x,) in duckdb.connect().execute("select round(x, 6) from (select unnest(?::double[]) as x)", [ties]).fetchall()]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(ties)], "i long, x double").select("i", alignments.r("x").alias("y"), F.round("x", 6).alias("own"), alignments.r(F.lit(None).cast("double")).alias("none")).orderBy("i").collect()
+    assert [x.y for x in got] == want and [x.own for x in got] != want and all(x.none is None for x in got)

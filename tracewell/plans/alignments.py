@@ -16,7 +16,8 @@ LETTERS = "ACEGOT"
 
 
 def r(c, digits: int = 6):
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+    """Rounded as the SQL's engine does it, the scaled double half away from zero; Spark's own rounds the shortest decimal."""
+    return F.round((F.col(c) if isinstance(c, str) else c) * 10.0**digits) / 10.0**digits
 
 
 @query("full_rows", SM + """SELECT event_id, CASE WHEN (strand = 't') = forward THEN ref_pos + 7 ELSE 97 - (ref_pos + 93) END AS ref_pos,
